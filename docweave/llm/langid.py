@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, remainder, sampled
+from .common import SLICE_ROWS, map_texts, remainder, sampled
 
 #: Bounds of what is learned: documents of each language (about, by hash), bytes of each of them, bytes of a dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 1500, 96 << 10
@@ -49,6 +50,26 @@ def identify(docs: DataFrame, learned: dict[str, bytes], id_col: str = "doc_id",
     that is at most min_margin of the best size. Null texts and texts without letters get lang_pred
     "und" and score 0. Each repeated row gets a row; columns besides the two aren't read.
     """
+    make = _identifier(learned, min_margin)
+    return map_texts(docs, id_col, text_col, {"lang_pred": "string", "score": "double", "rejected": "boolean", "sizes": "array<int>"}, make)
+
+
+def keep_identified(docs: DataFrame, learned: dict[str, bytes], text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of docs that identify() doesn't reject, with all columns, filtered where they stand."""
+    make = _identifier(learned, min_margin)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        compute = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(start, SLICE_ROWS)
+                yield rows.filter(pa.array([not r for r in compute(rows.column(at).to_pylist())["rejected"]]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _identifier(learned: dict[str, bytes], min_margin: float):
     names = list(learned)
 
     def make():
@@ -82,7 +103,7 @@ def identify(docs: DataFrame, learned: dict[str, bytes], id_col: str = "doc_id",
 
         return compute
 
-    return map_texts(docs, id_col, text_col, {"lang_pred": "string", "score": "double", "rejected": "boolean", "sizes": "array<int>"}, make)
+    return make
 
 
 def language_report(docs: DataFrame) -> DataFrame:

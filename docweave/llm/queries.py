@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, neardup, quality, secrets, toxicity, urls
+from . import bpe, chat, decontam, langid, neardup, quality, secrets, toxicity, urls
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -41,6 +41,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_count_report(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_report(table(spark, sf_dir, "conversations"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(table(spark, sf_dir, "documents"))
 
@@ -54,7 +62,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_toxicity, op4_secret_scans, op5_token_counts, op8_language_id, op9_bpe, op10_url_filters)
+    f.__name__: f
+    for f in (op1_minhash_near_dedup, op2_quality_rules, op3_toxicity, op4_secret_scans, op5_token_counts, op6_benchmark_decontamination, op7_chat_formatting, op8_language_id, op9_bpe, op10_url_filters)
 }
 
-SQL: dict[str, str] = {"op1_minhash_near_dedup": neardup.SQL, "op4_secret_scans": secrets.SQL, "op10_url_filters": urls.SQL}
+SQL: dict[str, str] = {"op1_minhash_near_dedup": neardup.SQL, "op4_secret_scans": secrets.SQL, "op7_chat_formatting": chat.SQL, "op10_url_filters": urls.SQL}
