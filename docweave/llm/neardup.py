@@ -177,9 +177,13 @@ def near_duplicates(
     meets = cut(prefixes(sets.join(rest.select("node"), "node", "left_semi"), least).join(rest, "node"))
     mixed = meets.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
     meets = meets.join(mixed, "token")
-    left = meets.select("token", F.col("node").alias("u"), F.col("comp").alias("cu"), F.col("n").alias("nu"))
-    right = meets.select("token", F.col("node").alias("v"), F.col("comp").alias("cv"), F.col("n").alias("nv"))
-    likely = left.join(right, "token").where("cu > cv").where((100 * F.least("nu", "nv") >= least * F.greatest("nu", "nv")))
+    left = meets.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * 2 * least / (100 + least)) + 1)
+    left = left.select("token", F.col("node").alias("u"), F.col("comp").alias("cu"), F.col("n").alias("nu"), F.col("rank").alias("ru"))
+    right = meets.select("token", F.col("node").alias("v"), F.col("comp").alias("cv"), F.col("n").alias("nv"), F.col("rank").alias("rv"))
+    order = (F.col("nu") < F.col("nv")) | ((F.col("nu") == F.col("nv")) & (F.col("u") < F.col("v")))
+    # what two sets can still share after their first common shingle must reach what the similarity asks for
+    room = (1 + F.least(F.col("nu") - F.col("ru"), F.col("nv") - F.col("rv"))) * (100 + least) >= least * (F.col("nu") + F.col("nv"))
+    likely = left.join(right, "token").where("cu <> cv").where(order & (100 * F.col("nu") >= least * F.col("nv")) & room)
     more = cut(verified(likely.select("u", "v").distinct(), sets, least))
     if not more.isEmpty():
         comps = components(edges.unionByName(more))
@@ -191,15 +195,16 @@ def near_duplicates(
 
 
 def prefixes(sets: DataFrame, least: int) -> DataFrame:
-    """(node, n, token): of each set its n - ceil(least * n / 100) + 1 rarest shingles (ties by value).
+    """(node, n, token, rank): of each set its n - ceil(least * n / 100) + 1 rarest shingles (ties by value).
 
-    Two sets of at least that similarity share a shingle of both prefixes, as all are in the same order.
+    Two sets of at least that similarity share a shingle of both prefixes, as all are in the same order. For the
+    smaller of the two, n - ceil(2 * least * n / (100 + least)) + 1 of them are enough.
     """
     tokens = sets.select("node", "n", F.explode("shingles").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("df"))
     order = Window.partitionBy("node").orderBy("df", "token")
     ranked = tokens.join(counts, "token").withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least / 100) + 1).select("node", "n", "token")
+    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least / 100) + 1).select("node", "n", "token", "rank")
 
 
 SQL = r"""
