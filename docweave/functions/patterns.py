@@ -19,4 +19,4 @@ GARBLED = r"[\x{2E80}-\x{2FFF}\x{0B00}-\x{0D7F}\x{1200}-\x{137F}\x{1D400}-\x{1D7
 SUSPICIOUS = r"[\x{FFFD}\x00\p{Co}]"
 UNSAFE_NAME = r"(?U)[^\w.\-一-龥]"
 #: Glyphs that some fonts put in place of others.
-GLYPHS = {"ଵ": "₁", "ଶ": "₂", "ቐ": "⎧", "": "•"}
+GLYPHS = {"\u0b35": "₁", "\u0b36": "₂", "\u1250": "⎧", "\uf0b7": "•"}
