@@ -13,10 +13,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import cut, map_texts
 
 #: Entries a task keeps of what it has encoded; then it starts again, so memory stays bounded.
 MEMO = 400_000
+#: Bytes of piece counts that are broadcast at most, and what a row of them takes besides its word.
+KNOWN_BYTES, ROW_BYTES = 32 << 20, 48
 #: Words of more characters are cut at every forced pair.
 LONG = 24
 
@@ -28,7 +30,53 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Codec:
+class Cutter:
+    """Cuts texts at special tokens and before blanks; what a Codec does first, without its vocabulary."""
+
+    def __init__(self, special_ids: dict[str, int], cut_at_blanks: bool):
+        self.special_ids, self.cut_at_blanks = special_ids, cut_at_blanks
+
+    def words(self, text: str) -> list[str]:
+        """text cut before blanks that follow no white space; each later piece lacks its blank."""
+        if not self.cut_at_blanks:
+            return [text]
+        pieces = text.split(" ")
+        if text[:1] == " " or "  " in text or _BLANK_PAIR.search(text):
+            out, held = [], pieces[0]
+            for piece in pieces[1:]:
+                if held and not held[-1].isspace():
+                    out.append(held)
+                    held = piece
+                else:
+                    held += " " + piece
+            pieces = [*out, held]
+        return pieces
+
+    def parts(self, text: str) -> Iterator[str | int]:
+        """text between special tokens, and those tokens' ids."""
+        if not any(s in text for s in self.special_ids):
+            yield text
+            return
+        for i, part in enumerate(re.split("(" + "|".join(map(re.escape, sorted(self.special_ids, key=len, reverse=True))) + ")", text)):
+            if part:
+                yield self.special_ids[part] if i % 2 else part
+
+    def pre_tokens(self, text: str) -> tuple[Counter, int]:
+        """How often each pre-token is in text, blanks before words included, and how many special tokens are."""
+        counts: Counter[str] = Counter()
+        special = 0
+        for part in self.parts(text):
+            if isinstance(part, int):
+                special += 1
+            else:
+                head, *rest = self.words(part)
+                counts[head] += 1
+                for word, n in Counter(rest).items():
+                    counts[" " + word] += n
+        return counts, special
+
+
+class Codec(Cutter):
     """Encodes and decodes with a tokenizers file by forced-boundary splitting.
 
     A pair of bytes that is inside no vocabulary token can be inside no token of an encoding, so a text
@@ -47,7 +95,6 @@ class Codec:
         self.lib.no_truncation()
         self.lib.no_padding()
         spec = json.loads(tokenizer_json)
-        self.special = [t["content"] for t in spec["added_tokens"]]
         self.special_ids = {t["content"]: t["id"] for t in spec["added_tokens"]}
         letters = byte_alphabet()
         vocab = spec["model"]["vocab"]
@@ -80,21 +127,8 @@ class Codec:
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
-    def words(self, text: str) -> list[str]:
-        """text cut before blanks that follow no white space; each later piece lacks its blank."""
-        if not self.cut_at_blanks:
-            return [text]
-        pieces = text.split(" ")
-        if text[:1] == " " or "  " in text or _BLANK_PAIR.search(text):
-            out, held = [], pieces[0]
-            for piece in pieces[1:]:
-                if held and not held[-1].isspace():
-                    out.append(held)
-                    held = piece
-                else:
-                    held += " " + piece
-            pieces = [*out, held]
-        return pieces
+    def cutter(self) -> Cutter:
+        return Cutter(self.special_ids, self.cut_at_blanks)
 
     def fragments(self, words: list[str]) -> list[list[str]]:
         """The fragments of each word at its other forced cuts."""
@@ -140,18 +174,9 @@ class Codec:
             else:
                 yield b"".join([known[f] for f in next(far)])
 
-    def parts(self, text: str) -> Iterator[str | int]:
-        """text between special tokens, and those tokens' ids."""
-        if not any(s in text for s in self.special):
-            yield text
-            return
-        for i, part in enumerate(re.split("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")", text)):
-            if part:
-                yield self.special_ids[part] if i % 2 else part
-
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [[p if isinstance(p, int) else self.words(p) for p in self.parts(t)] if t else [] for t in texts]
-        plain = [p for c in cut for p in c if not isinstance(p, int)]
+        pieces_of = [[p if isinstance(p, int) else self.words(p) for p in self.parts(t)] if t else [] for t in texts]
+        plain = [p for c in pieces_of for p in c if not isinstance(p, int)]
         if len(self.later) > MEMO:
             self.later.clear()
         if len(self.first) > MEMO:
@@ -161,7 +186,7 @@ class Codec:
         if new := list(set(chain.from_iterable(p[1:] for p in plain)) - self.later.keys()):
             self.later.update(zip(new, self.encode_words(new, " "), strict=True))
         out = []
-        for c in cut:
+        for c in pieces_of:
             ids: list[bytes] = []
             for p in c:
                 if isinstance(p, int):
@@ -233,49 +258,114 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     return map_texts(docs, id_col, text_col, {"ids": "array<int>", "decoded": "string"}, make)
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", known_bytes: int = KNOWN_BYTES) -> DataFrame:
     """Returns (id_col, n_bytes, n_tokens) for each row of docs, without ids.
 
-    Each text becomes frequencies of its pre-tokens (a word with the blank before it). The
-    pieces of each distinct pre-token of a slice are counted once, kept in the task's table of counts, and
-    joined to the documents' frequencies; their products are summed. That join stays inside the task: a
-    shuffled one would move every pre-token of the corpus, about as much data as the texts.
+    1. The distinct pre-tokens (a word with the blank before it) of all texts, and the pieces of each, counted once.
+    2. The frequencies of its pre-tokens in each text, joined to those counts; the products are summed by text.
+
+    Counts of pre-tokens that many slices of texts hold are broadcast, as many as known_bytes takes; those of
+    the rest are joined by a shuffle, so only rare pre-tokens are moved. Which way a count takes changes no result.
 
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows each get a row. An empty table
-    gives an empty table. Other columns of docs aren't read.
+    gives an empty table. Other columns of docs aren't read, whatever their names.
     """
     spec = read_spec(tokenizer_path)
+    cutter = Codec(*spec).cutter()
+    texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_body"))
+    pieces = cut(piece_counts(pre_tokens(texts, cutter), spec))
+    least = commonly(pieces, known_bytes)
+    own = ["_key", "f1", "f2", "n_bytes"]
+    freqs = frequencies(texts, cutter)
+    common = F.broadcast(pieces.where(F.col("n") >= least).select("word", "pieces"))
+    # a null word stands for the text itself, and its frequency for the special tokens
+    part = F.when(F.col("word").isNull(), F.col("freq")).otherwise(F.coalesce(F.col("freq") * F.col("pieces"), F.lit(0)))
+    sums = freqs.join(common, "word", "left").select(*own, F.col("word").isNull().cast("long").alias("copies"), part.alias("tokens"))
+    if least > 1:
+        rare = freqs.where("word is not null").join(common, "word", "left_anti").join(pieces.where(F.col("n") < least), "word")
+        sums = sums.unionByName(rare.select(*own, F.lit(0).cast("long").alias("copies"), (F.col("freq") * F.col("pieces")).alias("tokens")))
+    # rows of the same id and text fall together, and come apart again
+    sums = sums.groupBy(*own).agg(F.sum("copies").alias("copies"), F.sum("tokens").alias("tokens"))
+    sums = sums.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return sums.select(F.col("_key").alias(id_col), "n_bytes", F.expr("tokens div copies").alias("n_tokens"))
+
+
+def pre_tokens(texts: DataFrame, cutter: Cutter) -> DataFrame:
+    """(word, n): each distinct pre-token of the texts, and in how many slices it is."""
+
+    def make():
+        def compute(texts):
+            found: set[str] = set()
+            for t in texts:
+                if t:
+                    found.update(cutter.pre_tokens(t)[0])
+            return {"words": [list(found), *[[] for _ in texts[1:]]]}
+
+        return compute
+
+    words = map_texts(texts, "_key", "_body", {"words": "array<string>"}, make).select(F.explode("words").alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def piece_counts(words: DataFrame, spec: tuple[str, bool]) -> DataFrame:
+    """(word, n, pieces): the count of pieces for each row of words."""
 
     def make():
         codec = Codec(*spec)
-        first: dict[str, int] = {}
-        later: dict[str, int] = {}
+
+        def compute(words):
+            out = {}
+            for blank in (" ", ""):
+                own = [w for w in words if w.startswith(" ") == bool(blank)]
+                out.update(zip(own, (len(ids) // 4 for ids in codec.encode_words([w[len(blank) :] for w in own], blank)), strict=True))
+            return {"pieces": [out[w] for w in words]}
+
+        return compute
+
+    counted = map_texts(words.select(F.struct("word", "n").alias("of"), "word"), "of", "word", {"pieces": "bigint"}, make)
+    return counted.select("of.word", "of.n", "pieces")
+
+
+def commonly(pieces: DataFrame, known_bytes: int) -> int:
+    """The least n, a power of two, from which on the rows of pieces take at most known_bytes; 1 if all do."""
+    size = F.sum(F.octet_length("word") + F.lit(ROW_BYTES)).alias("size")
+    by = {r["e"]: r["size"] for r in pieces.groupBy(F.floor(F.log2("n")).alias("e")).agg(size).collect()}  # 64 rows at most
+    least, room = max(by, default=-1) + 1, known_bytes
+    for e in sorted(by, reverse=True):
+        room -= by[e]
+        if room < 0:
+            return 2**least
+        least = e
+    return 1
+
+
+def frequencies(texts: DataFrame, cutter: Cutter) -> DataFrame:
+    """(_key, f1, f2, n_bytes, word, freq): a row for each distinct pre-token of each text, and one with a null word.
+
+    f1 and f2 are a fingerprint of the text; the null word's frequency is the count of special tokens.
+    """
+
+    def make():
+        import xxhash
 
         def compute(texts):
-            heads, rests, extra = [], [], []
+            out = {"f1": [], "f2": [], "n_bytes": [], "words": [], "freqs": []}
             for t in texts:
-                head, rest, n = Counter(), Counter(), 0
-                for p in codec.parts(t) if t else ():
-                    if isinstance(p, int):
-                        n += 1
-                    else:
-                        words = codec.words(p)
-                        head[words[0]] += 1
-                        rest.update(words[1:])
-                heads.append(head), rests.append(rest), extra.append(n)
-            for table, all_of, blank in ((first, heads, ""), (later, rests, " ")):
-                if len(table) > 2 * MEMO:
-                    table.clear()
-                if new := list(set().union(*all_of) - table.keys()):
-                    table.update(zip(new, (len(ids) // 4 for ids in codec.encode_words(new, blank)), strict=True))
-            return {
-                "n_bytes": [len(t.encode()) if t else 0 for t in texts],
-                "n_tokens": [n + sum(k * first[w] for w, k in h.items()) + sum(k * later[w] for w, k in r.items()) for h, r, n in zip(heads, rests, extra, strict=True)],
-            }
+                raw = t.encode() if t else b""
+                digest = xxhash.xxh3_128_digest(raw)
+                counts, special = cutter.pre_tokens(t) if t else ({}, 0)
+                out["f1"].append(int.from_bytes(digest[:8], "big", signed=True))
+                out["f2"].append(int.from_bytes(digest[8:], "big", signed=True))
+                out["n_bytes"].append(len(raw))
+                out["words"].append([None, *counts])
+                out["freqs"].append([special, *counts.values()])
+            return out
 
         return compute
 
-    return map_texts(docs, id_col, text_col, {"n_bytes": "bigint", "n_tokens": "bigint"}, make)
+    fields = {"f1": "bigint", "f2": "bigint", "n_bytes": "bigint", "words": "array<string>", "freqs": "array<bigint>"}
+    rows = map_texts(texts, "_key", "_body", fields, make)
+    return rows.select("_key", "f1", "f2", "n_bytes", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("freqs").alias("freq"))))
 
 
 def token_count_report(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:

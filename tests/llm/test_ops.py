@@ -155,14 +155,15 @@ def test_bpe_round_trip(spark, odd, empty):
     alphabet = [*" \n\t'abtzqXé日😀1²!%$<|>", "  ", "'s", "　", "\x85", "\x1c", "<|endoftext|>"]
     rows = [(i, "".join(random.choices(alphabet, k=random.randrange(40)))) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
-    counts = collections.Counter((r["doc_id"], r["n_tokens"], r["n_bytes"]) for r in bpe.token_counts(df, queries.tokenizer_path()).collect())
+    counts, rare = (collections.Counter((r["doc_id"], r["n_tokens"], r["n_bytes"]) for r in bpe.token_counts(df, queries.tokenizer_path(), known_bytes=n).collect()) for n in (bpe.KNOWN_BYTES, 0))
     want = collections.Counter()
     texts = collections.defaultdict(set)
     for d, t in rows + ODD:
         ids = lib.encode(t or "", add_special_tokens=False).ids
         want[(d, len(ids), len((t or "").encode()))] += 1
         texts[d].add((tuple(ids), lib.decode(ids, skip_special_tokens=False)))
-    assert counts == want
+    assert counts == want and rare == want
+    assert bpe.token_counts(empty, queries.tokenizer_path()).count() == 0
     assert all((tuple(r["ids"]), r["decoded"]) in texts[r["doc_id"]] for r in bpe.encode_decode(df, queries.tokenizer_path()).collect())
     assert bpe.encode_decode(empty, queries.tokenizer_path()).count() == 0
     report = {r["doc_id"]: r for r in bpe.encoding_report(odd, queries.tokenizer_path()).collect()}
