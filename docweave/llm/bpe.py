@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -19,6 +19,8 @@ from .common import cut, map_texts
 MEMO = 400_000
 #: Bytes of piece counts that are broadcast at most, and what a row of them takes besides its word.
 KNOWN_BYTES, ROW_BYTES = 32 << 20, 48
+#: Pre-tokens that are encoded in one call.
+WORDS = 8192
 #: Words of more characters are cut at every forced pair.
 LONG = 24
 
@@ -61,19 +63,19 @@ class Cutter:
             if part:
                 yield self.special_ids[part] if i % 2 else part
 
-    def pre_tokens(self, text: str) -> tuple[Counter, int]:
-        """How often each pre-token is in text, blanks before words included, and how many special tokens are."""
-        counts: Counter[str] = Counter()
+    def split(self, texts: Iterable[str]) -> tuple[list[str], list[str], int]:
+        """The pre-tokens of the texts without and with a blank before them (here left out), and the count of special tokens."""
+        heads: list[str] = []
+        rests: list[str] = []
         special = 0
-        for part in self.parts(text):
+        for part in chain.from_iterable(map(self.parts, texts)):
             if isinstance(part, int):
                 special += 1
             else:
                 head, *rest = self.words(part)
-                counts[head] += 1
-                for word, n in Counter(rest).items():
-                    counts[" " + word] += n
-        return counts, special
+                heads.append(head)
+                rests += rest
+        return heads, rests, special
 
 
 class Codec(Cutter):
@@ -295,10 +297,8 @@ def pre_tokens(texts: DataFrame, cutter: Cutter) -> DataFrame:
 
     def make():
         def compute(texts):
-            found: set[str] = set()
-            for t in texts:
-                if t:
-                    found.update(cutter.pre_tokens(t)[0])
+            heads, rests, _ = cutter.split(filter(None, texts))
+            found = {*heads, *(" " + w for w in set(rests))}
             return {"words": [list(found), *[[] for _ in texts[1:]]]}
 
         return compute
@@ -322,7 +322,7 @@ def piece_counts(words: DataFrame, spec: tuple[str, bool]) -> DataFrame:
 
         return compute
 
-    counted = map_texts(words.select(F.struct("word", "n").alias("of"), "word"), "of", "word", {"pieces": "bigint"}, make)
+    counted = map_texts(words.select(F.struct("word", "n").alias("of"), "word"), "of", "word", {"pieces": "bigint"}, make, slice_rows=WORDS)
     return counted.select("of.word", "of.n", "pieces")
 
 
@@ -353,7 +353,10 @@ def frequencies(texts: DataFrame, cutter: Cutter) -> DataFrame:
             for t in texts:
                 raw = t.encode() if t else b""
                 digest = xxhash.xxh3_128_digest(raw)
-                counts, special = cutter.pre_tokens(t) if t else ({}, 0)
+                heads, rests, special = cutter.split([t] if t else [])
+                counts = {" " + w: n for w, n in Counter(rests).items()}
+                for w in heads:
+                    counts[w] = counts.get(w, 0) + 1
                 out["f1"].append(int.from_bytes(digest[:8], "big", signed=True))
                 out["f2"].append(int.from_bytes(digest[8:], "big", signed=True))
                 out["n_bytes"].append(len(raw))

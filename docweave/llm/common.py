@@ -31,11 +31,12 @@ def map_texts(
     fields: dict[str, str],
     make: Callable[[], Callable[[list], dict]],
     binary: bool = False,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """A row (id_col, *fields) for each row of docs, computed from whole texts in Arrow slices.
 
     make() runs once in a task and returns a function from a list of texts (None for null) to a list
-    for each field. Slices hold at most SLICE_ROWS rows and about SLICE_BYTES of text, so a worker's
+    for each field. Slices hold at most slice_rows rows and about SLICE_BYTES of text, so a worker's
     memory is bounded by its longest text. Only the two named columns are read, so further columns of
     docs, whatever their names, don't matter.
     """
@@ -51,7 +52,7 @@ def map_texts(
             start = 0
             while start < len(ids):
                 end, room = start, SLICE_BYTES
-                while end < len(ids) and end - start < SLICE_ROWS and room > 0:
+                while end < len(ids) and end - start < slice_rows and room > 0:
                     room -= len(sizes[end].as_buffer() or b"") if texts[end].is_valid else 0
                     end += 1
                 columns = compute((sizes if binary else texts).slice(start, end - start).to_pylist())
