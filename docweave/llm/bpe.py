@@ -10,6 +10,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -266,8 +267,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     1. The distinct pre-tokens (a word with the blank before it) of all texts, and the pieces of each, counted once.
     2. The frequencies of its pre-tokens in each text, joined to those counts; the products are summed by text.
 
-    Counts of pre-tokens that many slices of texts hold are broadcast, as many as known_bytes takes; those of
-    the rest are joined by a shuffle, so only rare pre-tokens are moved. Which way a count takes changes no result.
+    Counts of pre-tokens that many slices of texts hold are broadcast to the workers, as many as known_bytes takes,
+    and joined where the frequencies are formed; those of the rest are joined by a shuffle, so only rare pre-tokens
+    are moved. Which way a count takes changes no result.
 
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows each get a row. An empty table
     gives an empty table. Other columns of docs aren't read, whatever their names.
@@ -277,17 +279,12 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_body"))
     pieces = cut(piece_counts(pre_tokens(texts, cutter), spec))
     least = commonly(pieces, known_bytes)
-    own = ["_key", "f1", "f2", "n_bytes"]
-    freqs = frequencies(texts, cutter)
-    common = F.broadcast(pieces.where(F.col("n") >= least).select("word", "pieces"))
-    # a null word stands for the text itself, and its frequency for the special tokens
-    part = F.when(F.col("word").isNull(), F.col("freq")).otherwise(F.coalesce(F.col("freq") * F.col("pieces"), F.lit(0)))
-    sums = freqs.join(common, "word", "left").select(*own, F.col("word").isNull().cast("long").alias("copies"), part.alias("tokens"))
+    sums = frequencies(texts, cutter, known_counts(pieces, least))
     if least > 1:
-        rare = freqs.where("word is not null").join(common, "word", "left_anti").join(pieces.where(F.col("n") < least), "word")
-        sums = sums.unionByName(rare.select(*own, F.lit(0).cast("long").alias("copies"), (F.col("freq") * F.col("pieces")).alias("tokens")))
+        sums = sums.join(pieces.where(F.col("n") < least).select("word", "pieces"), "word", "left")
+        sums = sums.withColumn("freq", F.when(F.col("copies") > 0, F.col("freq")).otherwise(F.col("freq") * F.col("pieces")))
     # rows of the same id and text fall together, and come apart again
-    sums = sums.groupBy(*own).agg(F.sum("copies").alias("copies"), F.sum("tokens").alias("tokens"))
+    sums = sums.groupBy("_key", "f1", "f2").agg(F.max("n_bytes").alias("n_bytes"), F.sum("copies").alias("copies"), F.sum("freq").alias("tokens"))
     sums = sums.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     return sums.select(F.col("_key").alias(id_col), "n_bytes", F.expr("tokens div copies").alias("n_tokens"))
 
@@ -303,7 +300,7 @@ def pre_tokens(texts: DataFrame, cutter: Cutter) -> DataFrame:
 
         return compute
 
-    words = map_texts(texts, "_key", "_body", {"words": "array<string>"}, make).select(F.explode("words").alias("word"))
+    words = map_texts(texts, "_key", "_body", {"words": "array<string>"}, make, slice_rows=WORDS).select(F.explode("words").alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -339,36 +336,64 @@ def commonly(pieces: DataFrame, known_bytes: int) -> int:
     return 1
 
 
-def frequencies(texts: DataFrame, cutter: Cutter) -> DataFrame:
-    """(_key, f1, f2, n_bytes, word, freq): a row for each distinct pre-token of each text, and one with a null word.
+def known_counts(pieces: DataFrame, least: int) -> Broadcast:
+    """The pieces of the words with n from least on, by word: those that begin with a blank (left out here), and the others.
 
-    f1 and f2 are a fingerprint of the text; the null word's frequency is the count of special tokens.
+    commonly() has counted their bytes. A worker reads the broadcast once for all its tasks.
+    """
+    rows = pieces.where(F.col("n") >= least).select("word", "pieces").toArrow()
+    later, first = {}, {}
+    for word, n in zip(rows["word"].to_pylist(), rows["pieces"].to_pylist(), strict=True):
+        if word[:1] == " ":
+            later[word[1:]] = n
+        else:
+            first[word] = n
+    return pieces.sparkSession.sparkContext.broadcast((later, first))
+
+
+def frequencies(texts: DataFrame, cutter: Cutter, known: Broadcast) -> DataFrame:
+    """(_key, f1, f2, n_bytes, copies, word, freq): a row for each text, and one for each of its distinct pre-tokens that aren't known.
+
+    f1 and f2 are a fingerprint of the text. The row of the text itself has copies 1, its n_bytes, and as freq the tokens
+    known already: frequencies times pieces, and special tokens. Its word is a part of the fingerprint, which only
+    deals such rows out evenly. The other rows have copies 0 and no n_bytes.
     """
 
     def make():
         import xxhash
 
+        later, first = known.value
+
         def compute(texts):
             out = {"f1": [], "f2": [], "n_bytes": [], "words": [], "freqs": []}
             for t in texts:
                 raw = t.encode() if t else b""
                 digest = xxhash.xxh3_128_digest(raw)
-                heads, rests, special = cutter.split([t] if t else [])
-                counts = {" " + w: n for w, n in Counter(rests).items()}
+                heads, rests, tokens = cutter.split([t] if t else [])
+                rare: dict[str, int] = {}
+                for w, n in Counter(rests).items():
+                    if (p := later.get(w)) is None:
+                        rare[" " + w] = n
+                    else:
+                        tokens += n * p
                 for w in heads:
-                    counts[w] = counts.get(w, 0) + 1
+                    if (p := later.get(w[1:]) if w[:1] == " " else first.get(w)) is None:
+                        rare[w] = rare.get(w, 0) + 1
+                    else:
+                        tokens += p
                 out["f1"].append(int.from_bytes(digest[:8], "big", signed=True))
                 out["f2"].append(int.from_bytes(digest[8:], "big", signed=True))
-                out["n_bytes"].append(len(raw))
-                out["words"].append([None, *counts])
-                out["freqs"].append([special, *counts.values()])
+                out["n_bytes"].append([len(raw), *[None] * len(rare)])
+                out["words"].append([digest[:4].hex(), *rare])
+                out["freqs"].append([tokens, *rare.values()])
             return out
 
         return compute
 
-    fields = {"f1": "bigint", "f2": "bigint", "n_bytes": "bigint", "words": "array<string>", "freqs": "array<bigint>"}
+    fields = {"f1": "bigint", "f2": "bigint", "n_bytes": "array<bigint>", "words": "array<string>", "freqs": "array<bigint>"}
     rows = map_texts(texts, "_key", "_body", fields, make)
-    return rows.select("_key", "f1", "f2", "n_bytes", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("freqs").alias("freq"))))
+    each = F.arrays_zip(F.col("words").alias("word"), F.col("freqs").alias("freq"), F.col("n_bytes").alias("n_bytes"))
+    return rows.select("_key", "f1", "f2", F.inline(each)).withColumn("copies", F.col("n_bytes").isNotNull().cast("long"))
 
 
 def token_count_report(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
