@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, remainder, sampled
 
-#: Bounds of what is learned: examples of each label (about, by hash), terms kept, examples of a block, neighbours.
-EXAMPLES, TERMS, BLOCK, NEIGHBOURS = 600, 400, 64, 15
-#: Least chi-squared of a term; beyond chance for a vocabulary of some hundred thousand terms.
-LEAST_CHI2 = 25.0
+#: Bounds of what is learned: examples of each label (about, by hash), examples of a block, neighbours.
+EXAMPLES, BLOCK, NEIGHBOURS = 600, 64, 15
+#: Least chi-squared of a term that finds neighbours: fit() takes the one that does best on FOLDS parts of the examples.
+LEAST_CHI2, FOLDS = (25.0, 12.0, 8.0, 4.0), 5
 #: Weight of the prior in the vote.
 PRIOR_WEIGHT = 0.5
 
@@ -27,14 +27,17 @@ def terms(text: str) -> Counter:
 
 
 class BlockMaxIndex:
-    """Exact top-k by TF-IDF cosine over labelled examples.
+    """Exact top-k by cosine over labelled examples; a term weighs its TF-IDF times its chi-squared.
+
+    Terms of at least least chi-squared find neighbours. The others count in the norms, so what a text says
+    besides lowers its cosines, and texts that share only a weak term stay far apart.
 
     Postings are grouped in blocks of BLOCK examples, with each term's largest weight in each block. The sum of
     query weight times largest weight bounds every cosine in a block, so blocks are scored in order of that
     bound until the k-th best cosine found exceeds the next bound.
     """
 
-    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], priors: tuple[float, float]):
+    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], priors: tuple[float, float], least: float = LEAST_CHI2[0]):
         self.ids = [e[0] for e in examples]
         self.labels = np.array([e[1] for e in examples], float)
         n = max(1, len(examples))
@@ -47,8 +50,10 @@ class BlockMaxIndex:
             df.update(bag.keys())
             if label:
                 df1.update(bag.keys())
-        self.vocab = {t: k for k, t in enumerate(self.choose(df, df1, len(examples), int(both[0])))}
-        self.idf = np.array([math.log((1 + n) / (1 + df[t])) + 1 for t in self.vocab])
+        chi2 = self.chi2(df, df1, len(examples), int(both[0]))
+        self.vocab = {t: k for k, t in enumerate(self.choose(chi2, least))}
+        #: What an occurrence of a term weighs, for each that tells anything.
+        self.weigh = {t: (math.log((1 + n) / (1 + df[t])) + 1) * x for t, x in chi2.items()}
         blocks = max(1, -(-len(examples) // BLOCK))
         self.weights = [np.zeros((len(self.vocab), BLOCK), np.float64) for _ in range(blocks)]
         self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
@@ -62,24 +67,29 @@ class BlockMaxIndex:
         self.weights = None
 
     @staticmethod
-    def choose(df: Counter, df1: Counter, n: int, n1: int) -> list[str]:
-        """The terms that tell the labels apart best, by chi-squared over documents."""
-        scored = []
+    def chi2(df: Counter, df1: Counter, n: int, n1: int) -> dict[str, float]:
+        """Chi-squared of each term over documents, for those in three of them at least, where above 0."""
+        found = {}
         for t, k in df.items():
             if k < 3 or not 0 < n1 < n:
                 continue
             a, b = df1[t], k - df1[t]
             c, d = n1 - a, n - n1 - b
             bottom = (a + b) * (c + d) * (a + c) * (b + d)
-            if bottom and (chi2 := n * (a * d - b * c) ** 2 / bottom) >= LEAST_CHI2:
-                scored.append((-chi2, t))
-        return [t for _, t in sorted(scored)[:TERMS]]
+            if bottom and a * d != b * c:
+                found[t] = n * (a * d - b * c) ** 2 / bottom
+        return found
+
+    @staticmethod
+    def choose(chi2: dict[str, float], least: float) -> list[str]:
+        """The terms that tell the labels apart well enough, the best first."""
+        return sorted((t for t, x in chi2.items() if x >= least), key=lambda t: (-chi2[t], t))
 
     def vector(self, bag) -> tuple[np.ndarray, np.ndarray]:
-        found = sorted((self.vocab[t], k) for t, k in bag.items() if t in self.vocab)
-        at = np.array([t for t, _ in found], np.int64)
-        w = (1 + np.log(np.array([k for _, k in found], float))) * self.idf[at] if found else np.zeros(0)
-        return at, w / (np.linalg.norm(w) or 1.0)
+        known = {t: (1 + math.log(k)) * self.weigh[t] for t, k in bag.items() if t in self.weigh}
+        found = sorted((self.vocab[t], w) for t, w in known.items() if t in self.vocab)
+        norm = math.sqrt(math.fsum(w * w for w in known.values())) or 1.0
+        return np.array([t for t, _ in found], np.int64), np.array([w for _, w in found], float) / norm
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k largest cosines above 0 as (cosine, example), ties by example."""
@@ -103,16 +113,38 @@ class BlockMaxIndex:
     def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
         """Probability of label 1: votes of the neighbours weighted by 1 / (1 - cosine + 0.1), what they stand for, and the prior."""
         best = self.nearest(*self.vector(terms(text)))
+        return self.vote(best), best
+
+    def vote(self, best: list[tuple[float, int]]) -> float:
         one, all_of = self.prior * PRIOR_WEIGHT, PRIOR_WEIGHT
         for cosine, i in best:
             vote = cosine * self.stands[i] / (1.1 - cosine)
             one += vote * self.labels[i]
             all_of += vote
-        return one / all_of, best
+        return one / all_of
+
+
+def cross_validated(examples: list[tuple[int, int, dict[str, int]]], priors: tuple[float, float]) -> float:
+    """The value of LEAST_CHI2 with the best F1 of label 1 when each of FOLDS parts is scored by the others (ties: the first).
+
+    Examples count as many times as they stand for labelled documents.
+    """
+    best = (-1.0, LEAST_CHI2[0])
+    stands = BlockMaxIndex(examples, priors).stands
+    for least in LEAST_CHI2:
+        hit = said = real = 0.0
+        for part in range(FOLDS):
+            index = BlockMaxIndex([e for i, e in enumerate(examples) if i % FOLDS != part], priors, least)
+            for i in range(part, len(examples), FOLDS):
+                one, label = index.vote(index.nearest(*index.vector(examples[i][2]))) >= 0.5, examples[i][1]
+                hit, said, real = hit + stands[i] * (one and label), said + stands[i] * one, real + stands[i] * label
+        if (f1 := 2 * hit / ((said + real) or 1.0)) > best[0]:
+            best = (f1, least)
+    return best[1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> BlockMaxIndex:
-    """An index of about EXAMPLES documents of each label, drawn by a hash of their ids.
+    """An index of about EXAMPLES documents of each label, drawn by a hash of their ids; its least chi-squared is cross-validated on them.
 
     Rows without id or label teach nothing, a repeated id counts once (label 1 if any row says so).
     No labelled rows give an index that scores everything by a prior of 0.5.
@@ -141,7 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     examples = [seen[k] for k in sorted(seen)]
     # neighbours of one kind share blocks, which makes the bounds tight
     examples.sort(key=lambda e: (e[1], e[0]))
-    return BlockMaxIndex(examples, (n.get(0, 0) / total, n.get(1, 0) / total))
+    priors = n.get(0, 0) / total, n.get(1, 0) / total
+    return BlockMaxIndex(examples, priors, cross_validated(examples, priors))
 
 
 def score(docs: DataFrame, index: BlockMaxIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.llm import bpe, chat, decontam, langid, neardup, quality, queries, secrets, toxicity, urls
-from docweave.llm.common import cut
+from docweave.llm.common import cut, remainder
 from tests.conftest import SF
 
 WORD = re.compile(r"[^ \t-\r]+")
@@ -111,6 +111,19 @@ def test_toxicity_held_out(spark):
     assert not [r for r in rows if r["predicted"] and not r["toxic"]]
 
 
+def test_toxicity_each_language(spark):
+    """Insults of the smaller languages are few among the examples."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    index = toxicity.fit(docs, labels.where(remainder("doc_id", 5) != 0))
+    found = collections.Counter()
+    for r in docs.join(labels.where(remainder("doc_id", 5) == 0).where("toxic in (0, 1)"), "doc_id").collect():
+        found[("en" if r["lang"] == "en" else "other", r["toxic"], index.score(r["text"] or "")[0] >= 0.5)] += 1
+    for lang in ("en", "other"):
+        assert found[(lang, 1, True)] >= 0.8 * (found[(lang, 1, True)] + found[(lang, 1, False)])
+        assert found[(lang, 0, True)] <= 0.01 * found[(lang, 0, False)]
+
+
 def test_block_max_is_exact():
     random.seed(2)
     bags = [(i, i % 2, {f"t{random.randrange(60)}": random.randrange(1, 4) for _ in range(12)} | ({"bad": 2} if i % 2 else {})) for i in range(300)]
