@@ -22,6 +22,11 @@ WINDOW = 20
 HEX_BITS, MIXED_BITS = 3.05, 3.65
 #: What is known not to be secret: words of examples, alphabets in order, and runs of digits with few letters.
 ALLOW = ("(?i)example|sample|dummy|placeholder|changeme", "(?i)abcdefgh|01234567|qwertyui", "^[0-9]+[A-Za-z]{1,2}$", "^[A-Za-z]+[0-9]{1,4}$", "/.*/.*/")
+#: The same for runs judged piece by piece: these words cut a run, and what is left of it is judged by itself; a piece is left out
+#: if it is a plain word with a number, or if it has three slashes and nothing but such words and up to three characters between them.
+ALLOW_CUT = "(?i)example|sample|dummy|placeholder|changeme|abcdefgh|01234567|qwertyui"
+_SEGMENT = "([A-Za-z0-9_=+]{0,3}|([A-Z]?[a-z]+|[A-Z]+)([_=+]([A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[0-9]{0,4}|[0-9]{1,8})"
+ALLOW_PIECE = ("^[0-9]+[A-Za-z]{1,2}$", "^[A-Za-z]+[0-9]{1,4}$", f"^{_SEGMENT}(/{_SEGMENT}){{3,}}$")
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed")
 #: count * log2(count) in millionths, so that sums are exact.
 UNITS = [round(c * math.log2(c) * 1e6) if c else 0 for c in range(WINDOW + 1)]
@@ -67,12 +72,14 @@ def _placed(found: str, between: str) -> str:
         acc -> acc.out)"""
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "spans") -> DataFrame:
+def find_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "spans", by_piece: bool = False) -> DataFrame:
     """docs with out_col: array of struct(start, end, kind), by start, then kind as in KINDS.
 
     start and end are code points, the end exclusive. Kinds assign, access and hex are fixed patterns, all of
     which stay. entropy_hex and entropy_mixed are stretches of candidates in which a window of WINDOW characters has
     at least the class's entropy; those that ALLOW fits, or that lie inside a span of a fixed pattern, are left out.
+    by_piece: ALLOW_CUT cuts candidates into pieces and ALLOW_PIECE leaves out pieces, in place of ALLOW; so a word or some
+    slashes inside a long key don't hide the rest of it. Without it the spans are those of SQL.
     Null and empty texts have no spans. All columns of docs stay; a column named out_col is replaced.
     Working columns begin with two underscores and "secret".
     """
@@ -91,7 +98,12 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "spans"
         "transform(__secret_access_p, x -> struct(x.s as s, 1 as k, x.z as z))",
         "transform(__secret_hex_p, x -> struct(x.s as s, 2 as k, x.z as z))",
     ]
-    allowed = " or ".join(f"rlike(x.m, '{p}')" for p in ALLOW)
+    allowed = " or ".join(f"rlike(x.m, '{p}')" for p in (ALLOW_PIECE if by_piece else ALLOW))
+    if by_piece:
+        parts = _placed(f"split(x.m, '{ALLOW_CUT}', -1)", f"concat(array(''), regexp_extract_all(x.m, '{ALLOW_CUT}', 0))")
+        parts = f"transform({parts}, y -> named_struct('s', x.s + y.s, 'z', x.s + y.z, 'm', y.m))"
+        pieces = f"flatten(transform(__secret_entropy_p, x -> if(rlike(x.m, '{ALLOW_CUT}'), {parts}, array(x))))"
+        df = df.withColumn("__secret_entropy_p", F.expr(f"filter({pieces}, x -> length(x.m) >= {WINDOW})"))
     df = df.withColumn("__secret_base", F.expr(f"concat({', '.join(base)})"))
     df = df.withColumn(
         "__secret_c",
@@ -112,9 +124,9 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "spans"
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """docs with every span of find_secrets replaced by mask in text_col; overlapping spans share one mask.
 
-    Null texts stay null. All columns stay, those that no span touches with the same text.
+    Candidates are judged by piece. Null texts stay null. All columns stay, those that no span touches with the same text.
     """
-    found = find_secrets(docs, text_col, "__spans")
+    found = find_secrets(docs, text_col, "__spans", by_piece=True)
     joined = """aggregate(__spans, cast(array() as array<struct<s:int,z:int>>), (acc, x) ->
         if(size(acc) > 0 and x.start < element_at(acc, -1).z,
            concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', element_at(acc, -1).s, 'z', greatest(element_at(acc, -1).z, x.end)))),

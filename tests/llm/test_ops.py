@@ -160,6 +160,20 @@ def test_secrets_odd(spark, odd, empty):
     assert {r["doc_id"]: r["text"] for r in secrets.redact(odd).collect()}[1] is None
 
 
+def test_long_keys_are_masked(spark):
+    """Slashes and a word inside a long key hide nothing of it but the word; paths and examples stay."""
+    random.seed(9)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(random.choices(base64, k=n)) for n in (40, 64, 128, 344, 1000) for _ in range(40)]
+    plain = ["/usr/local/lib/python3/site", "com/News/2021/10/archive_page_2/index", "example0123456789example", base64, "/home/User/projects/Report2021/v2b/x"]
+    rows = [(i, f"key {k} end") for i, k in enumerate(keys)] + [(1000 + i, t) for i, t in enumerate(plain)]
+    inner = keys[-1][:300] + "example" + keys[-2][:300]
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame([*rows, (2000, inner)], "doc_id long, text string")).collect()}
+    assert not [t for i, t in masked.items() if i < 1000 and len(t) > 30]
+    assert [masked[1000 + i] for i in range(len(plain))] == plain
+    assert len(masked[2000]) < 40
+
+
 def test_bpe_round_trip(spark, odd, empty):
     from tokenizers import Tokenizer
 
