@@ -32,13 +32,21 @@ def grams_of(words: Column, k: int) -> Column:
 
 
 def fingerprint(grams: str) -> Column:
-    """SimHash of a bag of hashes: bit b is set if more than half of them have it, each occurrence counting.
+    """SimHash of a bag of hashes: bit b is set if more than half of its members have it.
 
+    The first occurrence of a hash counts as itself, a later one as a hash of it and its number. So a run of repeats doesn't
+    outweigh the rest, and the weighted similarity of two bags is that of two sets.
     The counters are 32 numbers, for bits j and j + 32 in lanes of 32 bits.
     """
+    more = lambda n, h: f"transform({n}, (c, j) -> c + (shiftrightunsigned({h}, j) & 4294967297L))"
+    plain = f"aggregate(w, array_repeat(0L, 32), (acc, h) -> {more('acc', 'h')})"
+    numbered = f"""aggregate(array_sort(w), named_struct('last', 0L, 'i', -1, 'n', array_repeat(0L, 32)),
+        (acc, x) -> transform(array(if(acc.i >= 0 and x = acc.last, acc.i + 1, 0)), i -> transform(array(if(i > 0, xxhash64(x, i), x)),
+            h -> named_struct('last', x, 'i', i, 'n', {more("acc.n", "h")}))[0])[0],
+        acc -> acc.n)"""
     return F.expr(
         f"""transform(array({grams}), w -> transform(
-            array(aggregate(w, array_repeat(0L, 32), (acc, h) -> transform(acc, (c, j) -> c + (shiftrightunsigned(h, j) & 4294967297L)))),
+            array(if(size(array_distinct(w)) = size(w), {plain}, {numbered})),
             n -> aggregate(sequence(0, 63), 0L, (f, b) -> f | if(
                 (shiftrightunsigned(n[b % 32], if(b >= 32, 32, 0)) & 4294967295L) * 2 > size(w), shiftleft(1L, b), 0L))))[0][0]"""
     )

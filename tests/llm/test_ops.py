@@ -245,6 +245,21 @@ def test_decontamination_against_brute_force(spark, odd, empty):
     assert decontam.decontamination_report(empty, bench).count() == 0 and decontam.contaminated(odd, bench.limit(0)).count() == 0
 
 
+def test_decontamination_repeats(spark):
+    """Items whose tail the document replaces by one word or line, repeated; all have a similarity of 75 % or more."""
+    random.seed(12)
+    word = lambda: f"r{random.randrange(100000)}"
+    docs, items = [], []
+    for k, (n, tail, line) in enumerate([(100, 13, 1), (200, 26, 1), (300, 40, 1), (400, 52, 4), (60, 8, 1), (400, 50, 1)] * 4):
+        item = [word() for _ in range(n)]
+        again = [word() for _ in range(line)]
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(item[: n - tail] + (again * tail)[:tail])))
+    held = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute_leaks(docs, items)
+    assert len(want) == len(docs) and {r["doc_id"]: {r["item_id"]} for r in held.collect()} == want
+
+
 def test_chat(spark):
     schema = "conv_id long, turn long, role string, text string, part string"
     a = spark.createDataFrame([(1, 0, "user", "hi", "x"), (1, 1, "assistant", "good", "x"), (1, 1, "assistant", "good", "x"), (2, 0, None, None, "x"), (None, 0, "user", "u", "x")], schema)
