@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,11 +27,38 @@ def plain(text: str) -> bytes:
     return " ".join(_WORDS.findall(text.lower())).encode("utf-8", "ignore")
 
 
+def few_of_each(texts: list[bytes], room: int = DICTIONARY_BYTES) -> bytes:
+    """Pieces of all texts but near copies, of equal length where texts are long enough, room bytes at most.
+
+    Texts come in the order of a hash, and a hash says where in a text its piece begins. A text of which at least half the runs of
+    three words are in those before it is a near copy.
+    """
+    known: set[int] = set()
+    apart = []
+    for text in sorted(texts, key=lambda t: (zlib.crc32(t), t)):
+        words = text.split()
+        runs = {hash(tuple(words[i : i + 3])) for i in range(max(1, len(words) - 2))}
+        if 2 * len(runs & known) < len(runs):
+            apart.append(text)
+            known |= runs
+    share, left = 0, room - len(apart)
+    for k, n in enumerate(sorted(map(len, apart))):
+        share = left // (len(apart) - k)
+        if n > share:
+            break
+        share, left = n, left - n
+    pieces = []
+    for text in apart:
+        at = zlib.crc32(text, 1) % (len(text) - share + 1) if len(text) > share else 0
+        pieces.append(text[at : at + share])
+    return b" ".join(pieces)[-room:]
+
+
 def dictionaries(docs: DataFrame, label_col: str = "lang", text_col: str = "text") -> dict[str, bytes]:
     """A raw-content dictionary for each label value, from a bounded sample of docs.
 
     At most about SAMPLE_DOCS documents a label are drawn by a hash of the text, of each SAMPLE_CHARS characters,
-    for fitting only. Rows without label or text teach nothing; no rows give no dictionaries.
+    for fitting only; few_of_each() takes a piece of each. Rows without label or text teach nothing; no rows give no dictionaries.
     """
     rows = docs.select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     drawn = sampled(rows, "lang", F.col("text"), SAMPLE_DOCS).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct()
@@ -38,7 +66,7 @@ def dictionaries(docs: DataFrame, label_col: str = "lang", text_col: str = "text
     for row in sorted(drawn.collect()):
         if words := plain(row["text"]):
             by.setdefault(row["lang"], []).append(words)
-    return {lang: b" ".join(texts)[-DICTIONARY_BYTES:] for lang, texts in sorted(by.items())}
+    return {lang: few_of_each(texts) for lang, texts in sorted(by.items())}
 
 
 def identify(docs: DataFrame, learned: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:

@@ -280,6 +280,20 @@ def test_language_held_out(spark, odd, empty):
     assert langid.identify(empty, {}).count() == 0 and langid.dictionaries(empty.withColumn("lang", F.lit(None).cast("string"))) == {}
 
 
+def test_dictionaries_take_from_all_texts():
+    """Every text gives a piece, wherever it sorts, and a family of near copies gives one text's worth."""
+    random.seed(10)
+    texts = [" ".join(f"{chr(97 + k % 26)}{random.randrange(10**6)}" for _ in range(150)).encode() for k in range(400)]
+    learned = langid.few_of_each(texts)
+    assert 0.97 * langid.DICTIONARY_BYTES < len(learned) <= langid.DICTIONARY_BYTES
+    assert sum(any(w in learned for w in t.split()) for t in texts) == 400
+    hot = [f"zz{random.randrange(10**6)}" for _ in range(150)]
+    copies = [" ".join([*hot[:k], f"x{k}", *hot[k + 1 :]]).encode() for k in range(140)]
+    learned = langid.few_of_each(texts[:260] + copies)
+    assert sum(any(w in learned for w in t.split()) for t in texts[:260]) == 260 and learned.count(b"zz") <= 150
+    assert langid.few_of_each([b"a b"]) == b"a b" and langid.few_of_each([]) == b""
+
+
 def test_globs():
     names = ["com/**", "*.com/**", "a*c", "**z", "é*"]
     automaton = urls.Automaton(names * 30)  # several words
