@@ -13,141 +13,133 @@ from pyspark.sql import functions as F
 from .common import map_texts, remainder, sampled
 
 #: Bounds of what is learned: examples of each label (about, by hash), examples of a block, neighbours.
-EXAMPLES, BLOCK, NEIGHBOURS = 600, 64, 15
-#: Least chi-squared of a term that finds neighbours: fit() takes the one that does best on FOLDS parts of the examples.
-LEAST_CHI2, FOLDS = (25.0, 12.0, 8.0, 4.0), 5
+EXAMPLES, BLOCK, NEIGHBOURS = 800, 32, 15
 #: Weight of the prior in the vote.
 PRIOR_WEIGHT = 0.5
+#: Blocks that are scored together, from the largest bound on; the number doubles as long as more are needed.
+FIRST_BLOCKS = 4
 
 _TERM = re.compile(r"[^\W\d_]+")
 
 
 def terms(text: str) -> Counter:
+    """How often each word of letters is in text, in lower case."""
     return Counter(_TERM.findall(text.lower()))
 
 
 class BlockMaxIndex:
-    """Exact top-k by cosine over labelled examples; a term weighs its TF-IDF times its chi-squared.
+    """Exact top-k by TF-IDF cosine over labelled examples (id, label, terms and their counts).
 
-    Terms of at least least chi-squared find neighbours. The others count in the norms, so what a text says
-    besides lowers its cosines, and texts that share only a weak term stay far apart.
+    A term weighs (1 + log count) * IDF * its chi-squared with the labels, so that a few telling words in a long text aren't
+    drowned by its topic. No term is left out: every term of an example is in its vector, in its norm and in the postings.
 
     Postings are grouped in blocks of BLOCK examples, with each term's largest weight in each block. The sum of
     query weight times largest weight bounds every cosine in a block, so blocks are scored in order of that
-    bound until the k-th best cosine found exceeds the next bound.
+    bound until the k-th best cosine found exceeds the next bound. Examples are in the order given: those of one
+    label should be side by side, as that makes the bounds tight. Equal cosines go by order of the hash of the id.
     """
 
-    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], priors: tuple[float, float], least: float = LEAST_CHI2[0]):
+    def __init__(self, examples: list[tuple[object, int, dict[str, int]]], priors: tuple[float, float]):
         self.ids = [e[0] for e in examples]
         self.labels = np.array([e[1] for e in examples], float)
-        n = max(1, len(examples))
-        both = self.labels.sum(), len(examples) - self.labels.sum()
+        n, n1 = len(examples), int(self.labels.sum())
         #: Each example stands for this many of its label among all labelled documents, relative to the sample.
-        self.stands = np.where(self.labels == 1, priors[1] / max(both[0] / n, 1e-9), priors[0] / max(both[1] / n, 1e-9))
+        self.stands = np.where(self.labels == 1, priors[1] * n / max(n1, 1), priors[0] * n / max(n - n1, 1))
         self.prior = priors[1]
+        self.tie = np.array([hash_of(i) for i in self.ids], np.uint64)
         df, df1 = Counter(), Counter()
         for _, label, bag in examples:
             df.update(bag.keys())
             if label:
                 df1.update(bag.keys())
-        chi2 = self.chi2(df, df1, len(examples), int(both[0]))
-        self.vocab = {t: k for k, t in enumerate(self.choose(chi2, least))}
-        #: What an occurrence of a term weighs, for each that tells anything.
-        self.weigh = {t: (math.log((1 + n) / (1 + df[t])) + 1) * x for t, x in chi2.items()}
-        blocks = max(1, -(-len(examples) // BLOCK))
-        self.weights = [np.zeros((len(self.vocab), BLOCK), np.float64) for _ in range(blocks)]
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        self.block_max = np.zeros((len(self.vocab), blocks))
-        for i, (_, _, bag) in enumerate(examples):
-            at, w = self.vector(bag)
-            self.weights[i // BLOCK][at, i % BLOCK] = w
-        for b, dense in enumerate(self.weights):
-            self.block_max[:, b] = dense.max(axis=1, initial=0)
-            self.postings.append({t: (np.flatnonzero(dense[t]), dense[t][dense[t] > 0]) for t in np.flatnonzero(dense.any(axis=1)).tolist()})
-        self.weights = None
-
-    @staticmethod
-    def chi2(df: Counter, df1: Counter, n: int, n1: int) -> dict[str, float]:
-        """Chi-squared of each term over documents, for those in three of them at least, where above 0."""
-        found = {}
-        for t, k in df.items():
-            if k < 3 or not 0 < n1 < n:
-                continue
-            a, b = df1[t], k - df1[t]
-            c, d = n1 - a, n - n1 - b
-            bottom = (a + b) * (c + d) * (a + c) * (b + d)
-            if bottom and a * d != b * c:
-                found[t] = n * (a * d - b * c) ** 2 / bottom
-        return found
-
-    @staticmethod
-    def choose(chi2: dict[str, float], least: float) -> list[str]:
-        """The terms that tell the labels apart well enough, the best first."""
-        return sorted((t for t, x in chi2.items() if x >= least), key=lambda t: (-chi2[t], t))
+        self.vocab = {t: k for k, t in enumerate(sorted(df))}
+        at = np.array([df[t] for t in self.vocab], float)
+        self.weigh = (np.log((1 + n) / (1 + at)) + 1) * chi2(at, np.array([df1[t] for t in self.vocab], float), n, n1)
+        rows = [self.vector(bag) for _, _, bag in examples]
+        term = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in rows]])
+        which = np.repeat(np.arange(n), [len(t) for t, _ in rows])
+        weight = np.concatenate([np.zeros(0), *[w for _, w in rows]])
+        order = np.lexsort((which, term))
+        self.which, self.weights = which[order].astype(np.int32), weight[order]
+        self.blocks = max(1, -(-n // BLOCK))
+        #: Where the postings of a term in a block begin, and where those of its last block end.
+        cell = term[order] * self.blocks + self.which // BLOCK
+        self.begins = np.searchsorted(cell, np.arange(len(self.vocab) * self.blocks + 1)).astype(np.int32)
+        self.most = np.zeros(len(self.vocab) * self.blocks, np.float32)
+        np.maximum.at(self.most, cell, np.nextafter(self.weights.astype(np.float32), np.float32(2)))
+        self.most = self.most.reshape(len(self.vocab), self.blocks)
 
     def vector(self, bag) -> tuple[np.ndarray, np.ndarray]:
-        known = {t: (1 + math.log(k)) * self.weigh[t] for t, k in bag.items() if t in self.weigh}
-        found = sorted((self.vocab[t], w) for t, w in known.items() if t in self.vocab)
-        norm = math.sqrt(math.fsum(w * w for w in known.values())) or 1.0
-        return np.array([t for t, _ in found], np.int64), np.array([w for _, w in found], float) / norm
+        """Numbers and weights of a text's terms, of length 1; terms of no example have no weight that is known."""
+        number = np.array([self.vocab.get(t, -1) for t in bag], np.int64)
+        count = np.array(list(bag.values()), float)
+        known = np.flatnonzero(number >= 0)
+        known = known[np.argsort(number[known])]
+        at = number[known]
+        w = (1 + np.log(count[known])) * self.weigh[at]
+        norm = math.sqrt(math.fsum((w * w).tolist())) or 1.0
+        return at[w > 0], w[w > 0] / norm
+
+    def cosines(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Of all examples, those of the given blocks scored."""
+        cells = (at[:, None] * self.blocks + blocks[None, :]).ravel()
+        begins = self.begins[cells].astype(np.int64)
+        lengths = self.begins[cells + 1] - begins
+        total = int(lengths.sum())
+        flat = np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)
+        return np.bincount(self.which[flat], self.weights[flat] * np.repeat(np.repeat(w, len(blocks)), lengths), minlength=len(self.ids))
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """The k largest cosines above 0 as (cosine, example), ties by example."""
+        """The k largest cosines above 0 as (cosine, example), ties by the hash of the id."""
         if not len(at) or not self.ids:
             return []
-        bounds = w @ self.block_max[at]
+        bounds = w @ self.most[at]
+        order = np.argsort(-bounds, kind="stable")
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-12:
+        done, step = 0, FIRST_BLOCKS
+        while done < self.blocks:
+            floor = best[-1][0] if len(best) == k else 0.0
+            some = order[done : done + step]
+            some = some[bounds[some] >= max(floor - 1e-9, 1e-12)]
+            if not len(some):
                 break
-            scores = np.zeros(BLOCK)
-            lists = self.postings[b]
-            for t, q in zip(at.tolist(), w.tolist(), strict=True):
-                if t in lists:
-                    where, weight = lists[t]
-                    scores[where] += q * weight
-            found = [(round(float(scores[i]), 12), b * BLOCK + i) for i in np.flatnonzero(scores).tolist()]
-            best = sorted([*best, *found], key=lambda x: (-x[0], x[1]))[:k]
+            scores = np.round(self.cosines(at, w, some), 12)
+            found = np.flatnonzero(scores >= max(floor, 1e-12))
+            found = found[np.lexsort((found, self.tie[found], -scores[found]))[:k]]
+            best += [(float(scores[i]), i) for i in found.tolist()]
+            best = sorted(best, key=lambda x: (-x[0], self.tie[x[1]], x[1]))[:k]
+            done, step = done + step, 2 * step
         return best
 
     def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
-        """Probability of label 1: votes of the neighbours weighted by 1 / (1 - cosine + 0.1), what they stand for, and the prior."""
+        """Probability of label 1: votes of the neighbours weighted by cosine / (1.1 - cosine), what they stand for, and the prior."""
         best = self.nearest(*self.vector(terms(text)))
-        return self.vote(best), best
-
-    def vote(self, best: list[tuple[float, int]]) -> float:
         one, all_of = self.prior * PRIOR_WEIGHT, PRIOR_WEIGHT
         for cosine, i in best:
             vote = cosine * self.stands[i] / (1.1 - cosine)
             one += vote * self.labels[i]
             all_of += vote
-        return one / all_of
+        return float(one / all_of), best
 
 
-def cross_validated(examples: list[tuple[int, int, dict[str, int]]], priors: tuple[float, float]) -> float:
-    """The value of LEAST_CHI2 with the best F1 of label 1 when each of FOLDS parts is scored by the others (ties: the first).
+def chi2(df: np.ndarray, df1: np.ndarray, n: int, n1: int) -> np.ndarray:
+    """Chi-squared of terms with df documents of n, df1 of them among the n1 of label 1."""
+    a, b, c, d = df1, df - df1, n1 - df1, n - n1 - df + df1
+    bottom = (a + b) * (c + d) * (a + c) * (b + d)
+    return np.where(bottom > 0, n * (a * d - b * c) ** 2 / np.maximum(bottom, 1), 0.0)
 
-    Examples count as many times as they stand for labelled documents.
-    """
-    best = (-1.0, LEAST_CHI2[0])
-    stands = BlockMaxIndex(examples, priors).stands
-    for least in LEAST_CHI2:
-        hit = said = real = 0.0
-        for part in range(FOLDS):
-            index = BlockMaxIndex([e for i, e in enumerate(examples) if i % FOLDS != part], priors, least)
-            for i in range(part, len(examples), FOLDS):
-                one, label = index.vote(index.nearest(*index.vector(examples[i][2]))) >= 0.5, examples[i][1]
-                hit, said, real = hit + stands[i] * (one and label), said + stands[i] * one, real + stands[i] * label
-        if (f1 := 2 * hit / ((said + real) or 1.0)) > best[0]:
-            best = (f1, least)
-    return best[1]
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> BlockMaxIndex:
-    """An index of about EXAMPLES documents of each label, drawn by a hash of their ids; its least chi-squared is cross-validated on them.
-
-    Rows without id or label teach nothing, a repeated id counts once (label 1 if any row says so).
-    No labelled rows give an index that scores everything by a prior of 0.5.
+
+def hash_of(key) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(str(key).encode())
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES) -> BlockMaxIndex:
+    """An index of about examples documents of each label, drawn by a hash of their ids.
+
+    Rows without id or label teach nothing, a repeated id counts once: with label 1 if any row says so, and of several
+    texts with the first in their order (null: the empty text). No labelled rows give an index that scores everything by a prior of 0.5.
     """
     marked = labels.select(F.col(id_col).alias("_key"), F.col(label_col).cast("int").alias("_label")).where("_key is not null and _label in (0, 1)")
     marked = marked.groupBy("_key").agg(F.max("_label").alias("_label"))
@@ -155,9 +147,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total = sum(n.values())
     if not total:
         return BlockMaxIndex([], (0.5, 0.5))
-    few = sampled(marked, "_label", F.col("_key"), EXAMPLES)
-    # few has at most about 2 * EXAMPLES rows at any size of the corpus, so it may be broadcast
+    few = sampled(marked, "_label", F.col("_key"), examples)
+    # few has at most about 2 * examples rows at any size of the corpus, so it may be broadcast
     texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(few), "_key")
+    texts = texts.groupBy("_key").agg(F.max("_label").alias("_label"), F.coalesce(F.min("_text"), F.lit("")).alias("_text"))
+    texts = texts.select(F.struct("_key", "_label").alias("_row"), "_text")
 
     def make():
         def compute(rows):
@@ -166,36 +160,36 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         return compute
 
-    bags = map_texts(texts, "_key", "_text", {"words": "array<string>", "counts": "array<int>"}, make).join(F.broadcast(few), "_key")
-    seen: dict[int, tuple] = {}
-    for r in bags.collect():
-        seen[r["_key"]] = (r["_key"], r["_label"], dict(zip(r["words"], r["counts"], strict=True)))
-    examples = [seen[k] for k in sorted(seen)]
-    # neighbours of one kind share blocks, which makes the bounds tight
-    examples.sort(key=lambda e: (e[1], e[0]))
-    priors = n.get(0, 0) / total, n.get(1, 0) / total
-    return BlockMaxIndex(examples, priors, cross_validated(examples, priors))
+    bags = map_texts(texts, "_row", "_text", {"words": "array<string>", "counts": "array<int>"}, make).select("_row._key", "_row._label", "words", "counts")
+    drawn = [(r["_key"], r["_label"], dict(zip(r["words"], r["counts"], strict=True))) for r in bags.collect()]
+    drawn.sort(key=lambda e: (e[1], hash_of(e[0])))  # those of one label share blocks
+    return BlockMaxIndex(drawn, (n.get(0, 0) / total, n.get(1, 0) / total))
 
 
 def score(docs: DataFrame, index: BlockMaxIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns (id_col, score, neighbours array<bigint>, cosines array<double>) for each row of docs.
+    """Returns (id_col, score, neighbours, cosines array<double>) for each row of docs; neighbours are ids, as text unless integers.
 
     The whole text is scored; neighbours and cosines are the evidence. A null or empty text, or one without a known
     term, gets the prior and no neighbours. Repeated rows each get a row; other columns aren't read.
     """
+    whole = all(isinstance(i, int) for i in index.ids)
+    sent = docs.sparkSession.sparkContext.broadcast(index)  # its size is bounded by the terms of the examples; a worker reads it once
 
     def make():
+        known = sent.value
+        ids = known.ids if whole else [str(i) for i in known.ids]
+
         def compute(texts):
-            found = [index.score(t or "") for t in texts]
+            found = [known.score(t or "") for t in texts]
             return {
                 "score": [p for p, _ in found],
-                "neighbours": [[index.ids[i] for _, i in best] for _, best in found],
+                "neighbours": [[ids[i] for _, i in best] for _, best in found],
                 "cosines": [[c for c, _ in best] for _, best in found],
             }
 
         return compute
 
-    return map_texts(docs, id_col, text_col, {"score": "double", "neighbours": "array<bigint>", "cosines": "array<double>"}, make)
+    return map_texts(docs, id_col, text_col, {"score": "double", "neighbours": "array<bigint>" if whole else "array<string>", "cosines": "array<double>"}, make)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -104,45 +105,83 @@ def test_quality(spark, odd, empty):
     assert quality.clean(empty).count() == 0
 
 
-def test_toxicity_held_out(spark):
-    out = queries.QUERIES["op3_toxicity"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic"), "doc_id")
-    rows = [r for r in out.collect() if r["held_out"]]
-    assert sum(r["predicted"] == r["toxic"] for r in rows) >= 0.9 * len(rows)
-    assert not [r for r in rows if r["predicted"] and not r["toxic"]]
-
-
-def test_toxicity_each_language(spark):
-    """Insults of the smaller languages are few among the examples."""
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+@pytest.fixture(scope="module")
+def held_out(spark):
+    """(lang, toxic, score) of the rows of sf0.1 that nothing was learned from."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    index = toxicity.fit(docs, labels.where(remainder("doc_id", 5) != 0))
-    found = collections.Counter()
-    for r in docs.join(labels.where(remainder("doc_id", 5) == 0).where("toxic in (0, 1)"), "doc_id").collect():
-        found[("en" if r["lang"] == "en" else "other", r["toxic"], index.score(r["text"] or "")[0] >= 0.5)] += 1
-    for lang in ("en", "other"):
-        assert found[(lang, 1, True)] >= 0.8 * (found[(lang, 1, True)] + found[(lang, 1, False)])
-        assert found[(lang, 0, True)] <= 0.01 * found[(lang, 0, False)]
+    out = toxicity.toxicity_report(docs, labels).where("held_out").select("doc_id", "score")
+    return [tuple(r)[1:] for r in out.join(docs.select("doc_id", "lang"), "doc_id").join(labels.where("toxic in (0, 1)"), "doc_id").select("doc_id", "lang", "toxic", "score").collect()]
+
+
+def test_toxicity_each_language(held_out):
+    """Recall and false alarms in four languages; insults of the smaller ones are few among the examples."""
+    found = collections.Counter((lang, toxic, score >= 0.5) for lang, toxic, score in held_out)
+    for lang in ("de", "en", "es", "fr"):
+        real = found[(lang, 1, True)] + found[(lang, 1, False)]
+        assert found[(lang, 1, True)] >= (0.6 if real < 10 else 0.85) * real, found
+        assert found[(lang, 0, True)] <= 0.03 * found[(lang, 0, False)], found
+    assert sum(n for (_, t, yes), n in found.items() if yes and not t) <= 0.01 * len(held_out)
+
+
+def test_toxicity_scores_are_calibrated(held_out):
+    """AUC, and the mean gap between score and share of toxic documents over ten bins."""
+    toxic, clean = [s for _, t, s in held_out if t], [s for _, t, s in held_out if not t]
+    assert sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean) >= 0.97 * len(toxic) * len(clean)
+    bins = collections.defaultdict(list)
+    for _, t, s in held_out:
+        bins[min(9, int(10 * s))].append((t, s))
+    gap = sum(abs(sum(t for t, _ in b) - sum(s for _, s in b)) for b in bins.values()) / len(held_out)
+    assert gap <= 0.05, gap
+
+
+def brute_score(examples, priors, text):
+    """The score of text from all cosines, in plain Python."""
+    n, n1 = len(examples), sum(label for _, label, _ in examples)
+    df = collections.Counter(t for _, _, bag in examples for t in bag)
+    df1 = collections.Counter(t for _, label, bag in examples if label for t in bag)
+
+    def weight(t):
+        a, b, c, d = df1[t], df[t] - df1[t], n1 - df1[t], n - n1 - df[t] + df1[t]
+        bottom = (a + b) * (c + d) * (a + c) * (b + d)
+        return (math.log((1 + n) / (1 + df[t])) + 1) * (n * (a * d - b * c) ** 2 / bottom if bottom else 0)
+
+    def vector(bag):
+        v = {t: (1 + math.log(k)) * weight(t) for t, k in bag.items() if t in df}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {t: x / norm for t, x in v.items()}
+
+    q = vector(collections.Counter(re.findall(r"[^\W\d_]+", text.lower())))
+    cosines = [(round(sum(x * v.get(t, 0) for t, x in q.items()), 12), i) for i, v in enumerate(vector(bag) for _, _, bag in examples)]
+    best = sorted(((c, i) for c, i in cosines if c > 1e-12), key=lambda x: (-x[0], toxicity.hash_of(examples[x[1]][0])))[:15]
+    stands = [priors[1] * n / n1 if label else priors[0] * n / (n - n1) for _, label, _ in examples]
+    votes = [(c * stands[i] / (1.1 - c), examples[i][1]) for c, i in best]
+    return (0.5 * priors[1] + sum(v * label for v, label in votes)) / (0.5 + sum(v for v, _ in votes)), [(c, i) for c, i in best]
 
 
 def test_block_max_is_exact():
+    """Neighbours and scores as from all cosines, ties (equal bags) by the hash of the id, both labels alike."""
     random.seed(2)
-    bags = [(i, i % 2, {f"t{random.randrange(60)}": random.randrange(1, 4) for _ in range(12)} | ({"bad": 2} if i % 2 else {})) for i in range(300)]
-    toxicity_terms = sorted({t for _, _, b in bags for t in b})
-    index = toxicity.BlockMaxIndex.__new__(toxicity.BlockMaxIndex)
-    index.choose = lambda *a: toxicity_terms
-    index.__init__(bags, (0.5, 0.5))
-    vectors = [dict(zip(*(x.tolist() for x in index.vector(b)), strict=True)) for _, _, b in bags]
-    for _, _, bag in bags[:40]:
-        at, w = index.vector(bag)
-        q = dict(zip(at.tolist(), w.tolist(), strict=True))
-        brute = sorted(((round(sum(q[t] * v.get(t, 0) for t in q), 9), i) for i, v in enumerate(vectors)), key=lambda x: (-x[0], x[1]))[:15]
-        assert [round(c, 6) for c, _ in index.nearest(at, w)] == [round(c, 6) for c, _ in brute if c > 0]
+    word = lambda: "".join(chr(97 + int(x)) for x in str(random.randrange(90)))
+    bags = [(i, int(i >= 200), collections.Counter(word() for _ in range(12)) + collections.Counter({"bad": 2} if i >= 200 and i % 3 else {})) for i in range(300)]
+    bags += [(300 + i, i % 2, bags[i % 3][2]) for i in range(60)]
+    index = toxicity.BlockMaxIndex(bags, (0.9, 0.1))
+    for _, _, bag in bags[::7]:
+        text = " ".join(t for t, k in bag.items() for _ in range(k)) + " unknown " + word()
+        score, near = index.score(text)
+        want, best = brute_score(bags, (0.9, 0.1), text)
+        assert abs(score - want) < 1e-9 and [(round(c, 9), i) for c, i in near] == [(round(c, 9), i) for c, i in best]
 
 
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1, 1), (5, None, 0), (None, 1, 1), (6, 0, None)], "doc_id long, quality int, toxic int")
     index = toxicity.fit(odd, labels)
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(odd, index).collect())
+    named = spark.createDataFrame([("x", "bad words here"), ("x", "alpha first text"), ("y", None), ("z", "good words there")], "doc_id string, text string")
+    index = toxicity.fit(named, spark.createDataFrame([("x", 0), ("x", 1), ("y", 0), ("z", 0)], "doc_id string, toxic int"))
+    assert sorted(zip(index.ids, index.labels.tolist())) == [("x", 1.0), ("y", 0.0), ("z", 0.0)] and "alpha" in index.vocab and "bad" not in index.vocab
+    rows = [tuple(r) for r in toxicity.score(named, index).collect()]
+    assert len(rows) == 4 and any("x" in near for _, _, near, _ in rows)
     nothing = toxicity.fit(empty, labels.limit(0))
     assert [r["score"] for r in toxicity.score(odd.limit(1), nothing).collect()] == [0.5] and toxicity.score(empty, nothing).count() == 0
 
