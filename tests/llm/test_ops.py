@@ -110,7 +110,7 @@ def held_out(spark):
     """(lang, toxic, score) of the rows of sf0.1 that nothing was learned from."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    out = toxicity.toxicity_report(docs, labels).where("held_out").select("doc_id", "score")
+    out = toxicity.toxicity_report(docs.repartition(8), labels).where("held_out").select("doc_id", "score")
     return [tuple(r)[1:] for r in out.join(docs.select("doc_id", "lang"), "doc_id").join(labels.where("toxic in (0, 1)"), "doc_id").select("doc_id", "lang", "toxic", "score").collect()]
 
 
@@ -119,7 +119,7 @@ def test_toxicity_each_language(held_out):
     found = collections.Counter((lang, toxic, score >= 0.5) for lang, toxic, score in held_out)
     for lang in ("de", "en", "es", "fr"):
         real = found[(lang, 1, True)] + found[(lang, 1, False)]
-        assert found[(lang, 1, True)] >= (0.6 if real < 10 else 0.85) * real, found
+        assert found[(lang, 1, True)] >= (0.6 if real < 10 else 0.75 if real < 20 else 0.9) * real, found
         assert found[(lang, 0, True)] <= 0.03 * found[(lang, 0, False)], found
     assert sum(n for (_, t, yes), n in found.items() if yes and not t) <= 0.01 * len(held_out)
 
