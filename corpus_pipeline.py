@@ -12,7 +12,7 @@ from docweave.llm.queries import table, tokenizer_path
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear: not those without letters, nor those that two languages fit as well."""
-    return langid.keep_identified(docs, langid.dictionaries(docs))
+    return langid.keep_identified(docs, langid.learn(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

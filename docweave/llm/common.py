@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,17 @@ _ARROW = {
 SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
 
 
+def slices(batch: pa.RecordBatch, at: int, rows: int = SLICE_ROWS, room: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """batch in slices of at most so many rows, each ended by the row with which the texts of column at reach room bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        end = min(start + rows, int(np.searchsorted(ends, before + room)) + 1, batch.num_rows)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def map_texts(
     docs: DataFrame,
     id_col: str,
@@ -47,18 +60,11 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            sizes = texts.cast(pa.binary())
-            start = 0
-            while start < len(ids):
-                end, room = start, SLICE_BYTES
-                while end < len(ids) and end - start < slice_rows and room > 0:
-                    room -= len(sizes[end].as_buffer() or b"") if texts[end].is_valid else 0
-                    end += 1
-                columns = compute((sizes if binary else texts).slice(start, end - start).to_pylist())
+            for part in slices(batch, 1, slice_rows):
+                ids, texts = part.column(0), part.column(1)
+                columns = compute((texts.cast(pa.binary()) if binary else texts).to_pylist())
                 arrays = [pa.array(columns[name], kind) for name, kind in types.items()]
-                yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), *arrays], names)
-                start = end
+                yield pa.RecordBatch.from_arrays([ids, *arrays], names)
 
     kind = source.schema["_id"].dataType.simpleString()
     ddl = ", ".join(f"`{name}` {kind}" for name, kind in {id_col: kind, **fields}.items())
@@ -113,4 +119,4 @@ def sampled(rows: DataFrame, label: str, key: Column, per_label: int) -> DataFra
     return rows.where(keep)
 
 
-__all__ = ["cut", "drop", "map_texts", "remainder", "sampled", "shared_dir"]
+__all__ = ["cut", "drop", "map_texts", "remainder", "sampled", "shared_dir", "slices"]

@@ -313,10 +313,49 @@ def test_language_held_out(spark, odd, empty):
     rows = [r for r in langid.language_report(docs).join(docs.select("doc_id", "lang"), "doc_id").collect() if r["held_out"]]
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows)
     assert all((zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) == r["held_out"] for r in rows)
-    learned = {"a": b"one two three " * 20, "b": b"eins zwei drei " * 20}
+    learned = langid.Learned({"a": b"one two three " * 20, "b": b"eins zwei drei " * 20})
     out = {r["doc_id"]: r for r in langid.identify(odd, learned).collect()}
     assert out[1]["lang_pred"] == "und" and out[3]["rejected"] and out[4]["lang_pred"] in "ab"
-    assert langid.identify(empty, {}).count() == 0 and langid.dictionaries(empty.withColumn("lang", F.lit(None).cast("string"))) == {}
+    assert langid.identify(empty, langid.Learned()).count() == 0 and langid.learn(empty.withColumn("lang", F.lit(None).cast("string"))) == langid.Learned()
+    assert {r["lang_pred"] for r in langid.identify(odd, langid.Learned()).collect()} == {"und"}
+
+
+def test_language_narrow_and_odd_texts(spark):
+    """Junk, halves of two languages and numbers that aren't letters; clean texts of any length stay, sizes are zstandard's own."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(8)
+    learned = langid.learn(docs.where(remainder("doc_id", 3) != 1))
+    random.seed(11)
+    junk = [(-i - 1, " ".join("".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randrange(2, 9))) for _ in range(random.randrange(100, 400)))) for i in range(150)]
+    df = docs.where(remainder("doc_id", 3) == 1).select("doc_id", "text").unionByName(spark.createDataFrame(junk, "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
+    rows = langid.identify(df, learned).collect()
+    assert sum(r["rejected"] for r in rows if r["doc_id"] < 0) >= 0.95 * len(junk)
+    clean = [r for r in rows if r["doc_id"] >= 0 and len(set(texts[r["doc_id"]].split())) >= 60]
+    assert len(clean) > 2000 and sum(r["rejected"] for r in clean) <= 0.005 * len(clean)
+    longest = sorted(rows, key=lambda r: -len(texts[r["doc_id"]]))[:20]
+    for r in [*longest, *rows[:30]]:
+        data, want = langid.plain(texts[r["doc_id"]]), []
+        for raw in learned.dictionaries.values() if data else ():
+            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            how = zstandard.ZstdCompressionParameters.from_level(9, write_content_size=False, write_dict_id=False, write_checksum=False)
+            want.append(len(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(data)))
+        assert abs(sum(r["sizes"]) - sum(want)) <= 0.01 * sum(want)
+        assert not want or learned.dictionaries.keys() and r["lang_pred"] == list(learned.dictionaries)[r["sizes"].index(min(r["sizes"]))]
+    odd = spark.createDataFrame([(1, "½ ² Ⅷ 12 __"), (2, "½ letters"), (3, "日本")], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd, learned).collect()}
+    assert got[1] == "und" and got[2] != "und" and got[3] != "und"
+    kept = langid.keep_identified(docs.where(remainder("doc_id", 3) == 1), learned)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in rows if r["doc_id"] >= 0 and not r["rejected"]}
+
+
+def test_pieces_come_from_anywhere():
+    random.seed(14)
+    texts = [" ".join(f"w{random.randrange(10**6)}" for _ in range(3000)).encode() for _ in range(60)]
+    places = [t.index(langid.piece_of(t)) / len(t) for t in texts]
+    assert all(len(langid.piece_of(t)) > langid.PIECE_BYTES - 10 for t in texts) and min(places) < 0.2 and max(places) > 0.8
+    assert langid.piece_of(b"") == b"" and langid.piece_of(b"x" * 5000)[:1] == b"x"
 
 
 def test_dictionaries_take_from_all_texts():
