@@ -5,12 +5,10 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +17,14 @@ from .common import cut, map_texts
 #: Entries a task keeps of what it has encoded; then it starts again, so memory stays bounded.
 MEMO = 400_000
 #: Bytes of piece counts that are broadcast at most, and what a row of them takes besides its word.
-KNOWN_BYTES, ROW_BYTES = 32 << 20, 48
-#: Pre-tokens that are encoded in one call.
+KNOWN_BYTES, ROW_BYTES = 16 << 20, 64
+#: Pre-tokens that are counted in one call.
 WORDS = 8192
-#: Words of more characters are cut at every forced pair.
-LONG = 24
+
+#: Fixed value: the published pattern of byte-level pre-tokens.
+PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters that this pattern takes alike here and in the library, whose Unicode tables are of another version.
+_ALIKE = re.compile("[\0-\u0557\u2000-\u2063\u20a0-\u20bf\u2190-\u23ff\u3001-\u303f\u3041-\u3096\u30a0-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f5ff]*")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -33,74 +34,43 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Cutter:
-    """Cuts texts at special tokens and before blanks; what a Codec does first, without its vocabulary."""
-
-    def __init__(self, special_ids: dict[str, int], cut_at_blanks: bool):
-        self.special_ids, self.cut_at_blanks = special_ids, cut_at_blanks
-
-    def words(self, text: str) -> list[str]:
-        """text cut before blanks that follow no white space; each later piece lacks its blank."""
-        if not self.cut_at_blanks:
-            return [text]
-        pieces = text.split(" ")
-        if text[:1] == " " or "  " in text or _BLANK_PAIR.search(text):
-            out, held = [], pieces[0]
-            for piece in pieces[1:]:
-                if held and not held[-1].isspace():
-                    out.append(held)
-                    held = piece
-                else:
-                    held += " " + piece
-            pieces = [*out, held]
-        return pieces
+class Tokens:
+    """A tokenizers file: its library object, special tokens, and whether its pre-tokens are the published byte-level ones."""
+
+    def __init__(self, tokenizer_json: str):
+        from tokenizers import Tokenizer
+
+        self.lib = Tokenizer.from_str(tokenizer_json)
+        self.lib.no_truncation()
+        self.lib.no_padding()
+        self.spec = json.loads(tokenizer_json)
+        self.special_ids = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
+        self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special_ids, key=len, reverse=True))) + ")") if self.special_ids else None
+        before = self.spec["pre_tokenizer"] or {}
+        self.published = not self.spec["normalizer"] and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
 
     def parts(self, text: str) -> Iterator[str | int]:
         """text between special tokens, and those tokens' ids."""
-        if not any(s in text for s in self.special_ids):
-            yield text
-            return
-        for i, part in enumerate(re.split("(" + "|".join(map(re.escape, sorted(self.special_ids, key=len, reverse=True))) + ")", text)):
+        for i, part in enumerate(self._special.split(text) if self._special else [text]):
             if part:
                 yield self.special_ids[part] if i % 2 else part
 
-    def split(self, texts: Iterable[str]) -> tuple[list[str], list[str], int]:
-        """The pre-tokens of the texts without and with a blank before them (here left out), and the count of special tokens."""
-        heads: list[str] = []
-        rests: list[str] = []
-        special = 0
-        for part in chain.from_iterable(map(self.parts, texts)):
-            if isinstance(part, int):
-                special += 1
-            else:
-                head, *rest = self.words(part)
-                heads.append(head)
-                rests += rest
-        return heads, rests, special
-
 
-class Codec(Cutter):
+class Codec(Tokens):
     """Encodes and decodes with a tokenizers file by forced-boundary splitting.
 
     A pair of bytes that is inside no vocabulary token can be inside no token of an encoding, so a text
     may be cut between the two, if the split into pre-tokens also stays as it is: the first byte must not
     end white space (the pattern looks ahead after it), the second must begin a character and not be an
-    apostrophe (a contraction starts with it). Fragments between such cuts are encoded alone and
-    their ids concatenated. Nearly all cuts lie before the blank of a next word; the others are taken
-    where a word isn't known yet.
+    apostrophe (a contraction starts with it). The mask of such pairs cuts the bytes of a whole text; each distinct fragment is
+    encoded alone, once for as long as the memo holds it, and the ids of a text's fragments are concatenated.
+    A file with other pre-tokens than the published byte-level ones has no certain cuts but its special tokens.
     """
 
-    def __init__(self, tokenizer_json: str, by_rank: bool = False):
-        """by_rank: what ranked() says of the file; then common words take the quicker path."""
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_str(tokenizer_json)
-        self.lib.no_truncation()
-        self.lib.no_padding()
-        spec = json.loads(tokenizer_json)
-        self.special_ids = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    def __init__(self, tokenizer_json: str):
+        super().__init__(tokenizer_json)
         letters = byte_alphabet()
-        vocab = spec["model"]["vocab"]
+        vocab = self.spec["model"]["vocab"]
         self.pieces: list[bytes] = [b""] * (1 + max([*vocab.values(), *self.special_ids.values()]))
         inside = np.zeros((256, 256), bool)
         for token, i in vocab.items():
@@ -114,89 +84,29 @@ class Codec(Cutter):
         self.forced[blank_ends, :] = False
         self.forced[:, 0x80:0xC0] = False
         self.forced[:, 0x27] = False
-        #: Pairs (x, blank) that are forced for each x that may be cut after; a vocabulary with others gets no such cuts.
-        self.cut_at_blanks = all(self.forced[x, 0x20] for x in range(256) if x not in blank_ends)
-        #: Tokens that begin with a blank.
-        self.at_blank = np.array([raw[:1] == b" " for raw in self.pieces])
+        self.forced &= self.published
         self.table = np.frombuffer(b"".join(self.pieces), np.uint8)
         self.lengths = np.array([len(raw) for raw in self.pieces], np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
-        self.quick = None
-        if by_rank and self.cut_at_blanks:
-            import tiktoken
-
-            ranks = {self.pieces[i]: i for i in vocab.values()}
-            self.quick = tiktoken.Encoding("pieces", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def cutter(self) -> Cutter:
-        return Cutter(self.special_ids, self.cut_at_blanks)
-
-    def fragments(self, words: list[str]) -> list[list[str]]:
-        """The fragments of each word at its other forced cuts."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        ends = np.cumsum([len(x) for x in raw])
-        if not len(data):
-            return [[w] for w in words]
-        cuts = np.flatnonzero(self.forced[data[:-1], data[1:]]) + 1
-        begins = ends - [len(x) for x in raw]
-        which = np.searchsorted(ends, cuts, side="right")
-        inner = cuts != begins[which]
-        out = [[w] for w in words]
-        by: dict[int, list[int]] = {}
-        for k, at in zip(which[inner].tolist(), (cuts - begins[which])[inner].tolist(), strict=True):
-            by.setdefault(k, []).append(at)
-        for k, at in by.items():
-            out[k] = [raw[k][a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *at], [*at, None], strict=True)]
-        return out
-
-    def encode_words(self, words: list[str], blank: str) -> Iterator[bytes]:
-        """The ids (int32) of each word with blank before it, in the order of words.
+        self.known: dict[bytes, bytes] = {}
 
-        Short words of Latin letters, digits and marks are encoded in one call, a blank before each: these blanks are
-        forced cuts, so each word's ids begin at the next token that begins with a blank. All other words are cut at
-        their forced pairs, and the library encodes the fragments alone.
-        """
-        plain = [bool(blank == " " and len(w) <= LONG and _LATIN.fullmatch(w)) for w in words] if self.quick else [False] * len(words)
-        short = [w for w, p in zip(words, plain, strict=True) if p]
-        other = [w for w, p in zip(words, plain, strict=True) if not p]
-        ids = np.array(self.quick.encode_ordinary(" " + " ".join(short)) if short else [], np.int32)
-        begins = np.flatnonzero(self.at_blank[ids]) * 4
-        if len(begins) != len(short):  # a word among them that the rule doesn't hold for
-            other, short, plain, begins = words, [], [False] * len(words), begins[:0]
-        split = self.fragments([blank + w for w in other])
-        distinct = list(dict.fromkeys(chain.from_iterable(split)))
-        known = {f: np.array(e.ids, np.int32).tobytes() for f, e in zip(distinct, self.lib.encode_batch_fast(distinct, add_special_tokens=False), strict=True)}
-        raw, near, far = ids.tobytes(), zip(begins.tolist(), [*begins[1:].tolist(), 4 * len(ids)], strict=False), iter(split)
-        for p in plain:
-            if p:
-                start, end = next(near)
-                yield raw[start:end]
-            else:
-                yield b"".join([known[f] for f in next(far)])
+    def fragments(self, text: str) -> list[bytes]:
+        """The UTF-8 bytes of text, cut at every forced pair."""
+        raw = text.encode("utf-8", "surrogatepass")
+        data = np.frombuffer(raw, np.uint8)
+        cuts = (np.flatnonzero(self.forced[data[:-1], data[1:]]) + 1).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts], [*cuts, len(raw)], strict=True)]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        pieces_of = [[p if isinstance(p, int) else self.words(p) for p in self.parts(t)] if t else [] for t in texts]
-        plain = [p for c in pieces_of for p in c if not isinstance(p, int)]
-        if len(self.later) > MEMO:
-            self.later.clear()
-        if len(self.first) > MEMO:
-            self.first.clear()
-        if new := list({p[0] for p in plain} - self.first.keys()):
-            self.first.update(zip(new, self.encode_words(new, ""), strict=True))
-        if new := list(set(chain.from_iterable(p[1:] for p in plain)) - self.later.keys()):
-            self.later.update(zip(new, self.encode_words(new, " "), strict=True))
+        cut_up = [[p if isinstance(p, int) else self.fragments(p) for p in self.parts(t)] for t in texts]
+        if len(self.known) > MEMO:
+            self.known.clear()
+        new = list(set(chain.from_iterable(p for parts in cut_up for p in parts if not isinstance(p, int))) - self.known.keys())
+        encoded = self.lib.encode_batch_fast([f.decode("utf-8", "surrogatepass") for f in new], add_special_tokens=False)
+        self.known.update((f, np.array(e.ids, np.int32).tobytes()) for f, e in zip(new, encoded, strict=True))
         out = []
-        for c in pieces_of:
-            ids: list[bytes] = []
-            for p in c:
-                if isinstance(p, int):
-                    ids.append(np.int32(p).tobytes())
-                else:
-                    ids.append(self.first[p[0]])
-                    ids.extend(map(self.later.__getitem__, p[1:]))
+        for parts in cut_up:
+            ids = [np.int32(p).tobytes() if isinstance(p, int) else b"".join(map(self.known.__getitem__, p)) for p in parts]
             out.append(np.frombuffer(b"".join(ids), np.int32))
         return out
 
@@ -208,37 +118,44 @@ class Codec(Cutter):
         return self.table[at + np.arange(len(at))].tobytes().decode("utf-8", "replace")
 
 
-#: Fixed value: the published pattern of byte-level pre-tokens.
-PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_BLANK_PAIR, _LATIN = re.compile(r"\s "), re.compile("[\x21-\x7e\xa1-\u024f]+")
+class PreTokens(Tokens):
+    """Splits texts into the pre-tokens of a tokenizers file, and counts the pieces of one."""
 
+    def __init__(self, tokenizer_json: str):
+        import regex
 
-@lru_cache
-def ranked(tokenizer_json: str) -> bool:
-    """Whether merging by rank of the result gives the ids that merging by the file's list gives.
+        super().__init__(tokenizer_json)
+        self._find = regex.compile(PRE_TOKEN).findall
+        stands = {b: c for c, b in byte_alphabet().items()}
+        self._stands = {b: ord(c) for b, c in stands.items()}
 
-    It does if ids follow the list and each token's own bytes merge to that token: while a token's ends are ends
-    of symbols, its inside merges as it does alone, so two neighbours that make up the token can be none but the
-    pair that the list has for it. The pre-tokens must be the published ones, too.
-    """
-    from tokenizers import Tokenizer
+    def split(self, text: str) -> tuple[Counter, int]:
+        """How often each pre-token is in text, and how many special tokens are.
 
-    spec = json.loads(tokenizer_json)
-    model, before = spec["model"], spec["pre_tokenizer"] or {}
-    vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
-    ids = [vocab.get("".join(m), -1) for m in merges]
-    if spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
-        return False
-    if ids != sorted(set(ids)) or len(vocab) != len(merges) + 256 or any(c not in vocab or ids and vocab[c] > ids[0] for c in byte_alphabet()):
-        return False
-    tokenize = Tokenizer.from_str(tokenizer_json).model.tokenize
-    return all(len(tokenize(t)) == 1 for t in vocab)
+        Published byte-level pre-tokens are as in the text, others as the library writes them.
+        """
+        found, special = Counter(), 0
+        for part in self.parts(text):
+            if isinstance(part, int):
+                special += 1
+            elif self.published and _ALIKE.fullmatch(part):
+                found.update(self._find(part))
+            elif self.published:
+                found.update(part[a:b] for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(part))
+            else:
+                normal = self.lib.normalizer.normalize_str(part) if self.lib.normalizer else part
+                found.update(w for w, _ in self.lib.pre_tokenizer.pre_tokenize_str(normal)) if self.lib.pre_tokenizer else found.update([normal])
+        return found, special
+
+    def pieces(self, word: str) -> int:
+        if self.published:
+            word = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._stands)
+        return len(self.lib.model.tokenize(word))
 
 
-def read_spec(tokenizer_path: str) -> tuple[str, bool]:
+def read_spec(tokenizer_path: str) -> str:
     with open(tokenizer_path, encoding="utf-8") as f:
-        spec = f.read()
-    return spec, ranked(spec)
+        return f.read()
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,7 +167,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     spec = read_spec(tokenizer_path)
 
     def make():
-        codec = Codec(*spec)
+        codec = Codec(spec)
 
         def compute(texts):
             ids = codec.encode_batch([t or "" for t in texts])
@@ -264,60 +181,67 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", known_bytes: int = KNOWN_BYTES) -> DataFrame:
     """Returns (id_col, n_bytes, n_tokens) for each row of docs, without ids.
 
-    1. The distinct pre-tokens (a word with the blank before it) of all texts, and the pieces of each, counted once.
-    2. The frequencies of its pre-tokens in each text, joined to those counts; the products are summed by text.
-
-    Counts of pre-tokens that many slices of texts hold are broadcast to the workers, as many as known_bytes takes,
-    and joined where the frequencies are formed; those of the rest are joined by a shuffle, so only rare pre-tokens
-    are moved. Which way a count takes changes no result.
+    1. One pass over the texts gives the frequencies of the pre-tokens of each, which are written to a table.
+    2. The pieces of each distinct pre-token of that table are counted once.
+    3. Frequencies and counts are joined, and the products summed by text. Counts of the most widespread pre-tokens, as many as
+       known_bytes takes by their measured bytes, are joined by a broadcast, so that no such pre-token is a hot key and its rows aren't
+       moved; the others by a shuffle. Which way a pre-token takes changes no result.
 
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows each get a row. An empty table
     gives an empty table. Other columns of docs aren't read, whatever their names.
     """
     spec = read_spec(tokenizer_path)
-    cutter = Codec(*spec).cutter()
-    texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_body"))
-    pieces = cut(piece_counts(pre_tokens(texts, cutter), spec))
+    texts = cut(frequencies(docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_body")), spec), compression="zstd")
+    pieces = cut(piece_counts(texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), spec))
     least = commonly(pieces, known_bytes)
-    sums = frequencies(texts, cutter, known_counts(pieces, least))
+    common = F.broadcast(pieces.where(F.col("n") >= least).select("word", "pieces"))
+    rows = texts.select("_key", "f1", "f2", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("freq"))))
+    sums = texts.select("_key", "f1", "f2", "n_bytes", F.lit(1).cast("long").alias("copies"), F.col("special").alias("tokens"))
+    joins = [rows.join(common, "word")]
     if least > 1:
-        sums = sums.join(pieces.where(F.col("n") < least).select("word", "pieces"), "word", "left")
-        sums = sums.withColumn("freq", F.when(F.col("copies") > 0, F.col("freq")).otherwise(F.col("freq") * F.col("pieces")))
+        joins.append(rows.join(common, "word", "left_anti").join(pieces.where(F.col("n") < least).select("word", "pieces").hint("merge"), "word"))
+    for joined in joins:
+        sums = sums.unionByName(joined.select("_key", "f1", "f2", F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("copies"), (F.col("freq") * F.col("pieces")).alias("tokens")))
     # rows of the same id and text fall together, and come apart again
-    sums = sums.groupBy("_key", "f1", "f2").agg(F.max("n_bytes").alias("n_bytes"), F.sum("copies").alias("copies"), F.sum("freq").alias("tokens"))
+    sums = sums.groupBy("_key", "f1", "f2").agg(F.max("n_bytes").alias("n_bytes"), F.sum("copies").alias("copies"), F.sum("tokens").alias("tokens"))
     sums = sums.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     return sums.select(F.col("_key").alias(id_col), "n_bytes", F.expr("tokens div copies").alias("n_tokens"))
 
 
-def pre_tokens(texts: DataFrame, cutter: Cutter) -> DataFrame:
-    """(word, n): each distinct pre-token of the texts, and in how many slices it is."""
+def frequencies(texts: DataFrame, spec: str) -> DataFrame:
+    """(_key, f1, f2, n_bytes, special, words, counts) for each text: a fingerprint, its special tokens, its distinct pre-tokens and how often each is in it."""
 
     def make():
+        import xxhash
+
+        split = PreTokens(spec).split
+
         def compute(texts):
-            heads, rests, _ = cutter.split(filter(None, texts))
-            found = {*heads, *(" " + w for w in set(rests))}
-            return {"words": [list(found), *[[] for _ in texts[1:]]]}
+            out = {"f1": [], "f2": [], "n_bytes": [], "special": [], "words": [], "counts": []}
+            for t in texts:
+                raw = t.encode("utf-8", "surrogatepass") if t else b""
+                digest = xxhash.xxh3_128_digest(raw)
+                found, special = split(t) if t else ({}, 0)
+                out["f1"].append(int.from_bytes(digest[:8], "big", signed=True))
+                out["f2"].append(int.from_bytes(digest[8:], "big", signed=True))
+                out["n_bytes"].append(len(raw))
+                out["special"].append(special)
+                out["words"].append(list(found))
+                out["counts"].append(list(found.values()) if found else [])
+            return out
 
         return compute
 
-    words = map_texts(texts, "_key", "_body", {"words": "array<string>"}, make, slice_rows=WORDS).select(F.explode("words").alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n"))
+    fields = {"f1": "bigint", "f2": "bigint", "n_bytes": "bigint", "special": "bigint", "words": "array<string>", "counts": "array<int>"}
+    return map_texts(texts, "_key", "_body", fields, make)
 
 
-def piece_counts(words: DataFrame, spec: tuple[str, bool]) -> DataFrame:
+def piece_counts(words: DataFrame, spec: str) -> DataFrame:
     """(word, n, pieces): the count of pieces for each row of words."""
 
     def make():
-        codec = Codec(*spec)
-
-        def compute(words):
-            out = {}
-            for blank in (" ", ""):
-                own = [w for w in words if w.startswith(" ") == bool(blank)]
-                out.update(zip(own, (len(ids) // 4 for ids in codec.encode_words([w[len(blank) :] for w in own], blank)), strict=True))
-            return {"pieces": [out[w] for w in words]}
-
-        return compute
+        pieces = PreTokens(spec).pieces
+        return lambda words: {"pieces": [pieces(w) for w in words]}
 
     counted = map_texts(words.select(F.struct("word", "n").alias("of"), "word"), "of", "word", {"pieces": "bigint"}, make, slice_rows=WORDS)
     return counted.select("of.word", "of.n", "pieces")
@@ -336,66 +260,6 @@ def commonly(pieces: DataFrame, known_bytes: int) -> int:
     return 1
 
 
-def known_counts(pieces: DataFrame, least: int) -> Broadcast:
-    """The pieces of the words with n from least on, by word: those that begin with a blank (left out here), and the others.
-
-    commonly() has counted their bytes. A worker reads the broadcast once for all its tasks.
-    """
-    rows = pieces.where(F.col("n") >= least).select("word", "pieces").toArrow()
-    later, first = {}, {}
-    for word, n in zip(rows["word"].to_pylist(), rows["pieces"].to_pylist(), strict=True):
-        if word[:1] == " ":
-            later[word[1:]] = n
-        else:
-            first[word] = n
-    return pieces.sparkSession.sparkContext.broadcast((later, first))
-
-
-def frequencies(texts: DataFrame, cutter: Cutter, known: Broadcast) -> DataFrame:
-    """(_key, f1, f2, n_bytes, copies, word, freq): a row for each text, and one for each of its distinct pre-tokens that aren't known.
-
-    f1 and f2 are a fingerprint of the text. The row of the text itself has copies 1, its n_bytes, and as freq the tokens
-    known already: frequencies times pieces, and special tokens. Its word is a part of the fingerprint, which only
-    deals such rows out evenly. The other rows have copies 0 and no n_bytes.
-    """
-
-    def make():
-        import xxhash
-
-        later, first = known.value
-
-        def compute(texts):
-            out = {"f1": [], "f2": [], "n_bytes": [], "words": [], "freqs": []}
-            for t in texts:
-                raw = t.encode() if t else b""
-                digest = xxhash.xxh3_128_digest(raw)
-                heads, rests, tokens = cutter.split([t] if t else [])
-                rare: dict[str, int] = {}
-                for w, n in Counter(rests).items():
-                    if (p := later.get(w)) is None:
-                        rare[" " + w] = n
-                    else:
-                        tokens += n * p
-                for w in heads:
-                    if (p := later.get(w[1:]) if w[:1] == " " else first.get(w)) is None:
-                        rare[w] = rare.get(w, 0) + 1
-                    else:
-                        tokens += p
-                out["f1"].append(int.from_bytes(digest[:8], "big", signed=True))
-                out["f2"].append(int.from_bytes(digest[8:], "big", signed=True))
-                out["n_bytes"].append([len(raw), *[None] * len(rare)])
-                out["words"].append([digest[:4].hex(), *rare])
-                out["freqs"].append([tokens, *rare.values()])
-            return out
-
-        return compute
-
-    fields = {"f1": "bigint", "f2": "bigint", "n_bytes": "array<bigint>", "words": "array<string>", "freqs": "array<bigint>"}
-    rows = map_texts(texts, "_key", "_body", fields, make)
-    each = F.arrays_zip(F.col("words").alias("word"), F.col("freqs").alias("freq"), F.col("n_bytes").alias("n_bytes"))
-    return rows.select("_key", "f1", "f2", F.inline(each)).withColumn("copies", F.col("n_bytes").isNotNull().cast("long"))
-
-
 def token_count_report(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit."""
     return token_counts(docs, tokenizer_path).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -83,11 +83,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df as a table written to the shared folder: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docweave/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._docweave_path = path
     return out

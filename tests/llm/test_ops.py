@@ -237,9 +237,24 @@ def test_bpe_round_trip(spark, odd, empty):
 
 
 def test_forced_cuts_are_in_no_token():
-    codec = bpe.Codec(bpe.read_spec(queries.tokenizer_path())[0])
+    codec = bpe.Codec(bpe.read_spec(queries.tokenizer_path()))
     inside = {(a, b) for raw in codec.pieces[:-1] for a, b in zip(raw, raw[1:], strict=False)}
     assert not any(codec.forced[a, b] for a, b in inside)
+    assert codec.fragments("A word, again: 12 ü!") == [b"A", b" word", b",", b" again", b":", b" 12", b" \xc3\xbc", b"!"]
+
+
+def test_pre_tokens_are_the_librarys():
+    """Every character that the pattern is used for, in several places, and odd texts that go to the library."""
+    split = bpe.PreTokens(bpe.read_spec(queries.tokenizer_path()))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and bpe._ALIKE.fullmatch(chr(c))]
+    assert len(points) > 30000
+    for at in range(0, len(points), 4000):
+        text = "".join(f"a{c}1{c}!{c} {c}b  {c}{c}" for c in points[at : at + 4000])
+        want = collections.Counter(text[a:b] for _, (a, b) in split.lib.pre_tokenizer.pre_tokenize_str(text))
+        assert split.split(text) == (want, 0)
+    text = "x\u0558y \U0003fc3bz <|endoftext|> é's"
+    found, special = split.split(text)
+    assert special == 1 and sum(found.values()) == sum(len(split.lib.pre_tokenizer.pre_tokenize_str(p)) for p in text.split("<|endoftext|>"))
 
 
 def brute_leaks(docs, items):
