@@ -314,6 +314,38 @@ def test_decontamination_repeats(spark):
     assert len(want) == len(docs) and {r["doc_id"]: {r["item_id"]} for r in held.collect()} == want
 
 
+def test_simhash_index_recall(spark):
+    """Pairs just above similarity 0.75 meet in a block but for a few in a thousand; unrelated ones seldom do. Both counter widths agree."""
+    random.seed(15)
+    rows = []
+    for k in range(3000):
+        n = random.choice([16, 40, 100, 300])
+        bag = [random.getrandbits(63) for _ in range(n)]
+        changed = n - -(-6 * n // 7)  # 6/7 in common: similarity 0.75
+        other = bag[changed:] + [random.choice(bag[:1]) if k % 3 == 0 else random.getrandbits(63) for _ in range(changed)]
+        rows.append((k, bag, other, [random.getrandbits(63) for _ in range(n)]))
+    df = spark.createDataFrame(rows, "k long, a array<long>, b array<long>, c array<long>").repartition(8)
+    df = df.select("k", *[decontam.fingerprints(x, 16).alias(x) for x in "abc"], decontam.fingerprints("a", 32).alias("wide"))
+    df = df.select("k", "a", "wide", *[decontam.blocks(x).alias(f"{x}s") for x in "abc"])
+    meet = lambda y: F.size(F.array_intersect("as", y)) > 0
+    r = df.agg(F.avg(meet("bs").cast("int")).alias("near"), F.avg(meet("cs").cast("int")).alias("far"), F.count_if(F.col("a") != F.col("wide")).alias("apart")).first()
+    assert r["near"] >= 0.995 and r["far"] <= 0.2 and r["apart"] == 0, r
+
+
+def test_decontamination_long_items_and_ids_of_several_texts(spark):
+    """An item of 3,000 words in a longer text; an id with two texts, each with half of an item, holds nothing."""
+    random.seed(16)
+    word = lambda: f"L{random.randrange(10**6)}"
+    item, short = [word() for _ in range(3000)], [word() for _ in range(40)]
+    body = [word() for _ in range(500)] + [w if i % 40 else word() for i, w in enumerate(item)] + [word() for _ in range(700)]
+    docs = [(1, " ".join(body)), (2, " ".join(short[:20])), (2, " ".join(short[20:])), (3, " ".join(short)), (3, " ".join(short))]
+    items = [("big", " ".join(item)), ("small", " ".join(short)), ("again", " ".join(short))]
+    held = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"))
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["first_word"]) for r in held.collect()}
+    assert got.keys() == {(1, "big"), (3, "small"), (3, "again")} and got[(3, "small")] == (1.0, 0)
+    assert 499 <= got[(1, "big")][1] <= 502 and 0.77 < got[(1, "big")][0] < 0.79
+
+
 def test_chat(spark):
     schema = "conv_id long, turn long, role string, text string, part string"
     a = spark.createDataFrame([(1, 0, "user", "hi", "x"), (1, 1, "assistant", "good", "x"), (1, 1, "assistant", "good", "x"), (2, 0, None, None, "x"), (None, 0, "user", "u", "x")], schema)
