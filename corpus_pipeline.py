@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docweave.llm import bpe, decontam, langid, neardup, secrets
 from docweave.llm.common import cut
@@ -16,11 +17,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; of repeated ids one row."""
+    """One document of each group of near duplicates, the one with the smallest id.
+
+    Of repeated ids one row stays, with the first text in order (ties: the first by a hash of the row). Rows without id
+    can't be named by a result of ids: they all stay, and are nobody's copies.
+    """
     kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
     out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
     again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").limit(1)
-    return out if again.isEmpty() else out.dropDuplicates(["doc_id"])
+    if not again.isEmpty():
+        order = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*docs.columns))
+        out = out.withColumn("_first", F.row_number().over(order)).where("_first = 1").select(*docs.columns)
+    return out.unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

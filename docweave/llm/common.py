@@ -24,6 +24,8 @@ _ARROW = {
 }
 
 SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
+#: Share of a table's rows, and least rows, from which on a join key is dealt to several tasks.
+HOT, FEW = 256, 64
 
 
 def slices(batch: pa.RecordBatch, at: int, rows: int = SLICE_ROWS, room: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -72,11 +74,13 @@ def map_texts(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one of our own only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one of our own only where none is set and all run on this machine (tests)."""
     context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not where and context._jsc.sc().getCheckpointDir().isDefined():
         where = context._jsc.sc().getCheckpointDir().get()
+    if not where and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="docweave-")
         context.setCheckpointDir(where)
@@ -93,11 +97,27 @@ def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Removes a table that cut() wrote; df can't be read afterwards."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._docweave_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that cut() wrote; they can't be read afterwards."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._docweave_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left, a table of cut(), joined on key with right, which has a row for each key; no task gets more than a few 1 / HOT of left.
+
+    A key with more than 1 / HOT of left's rows (and FEW) is dealt to several tasks, and its row of right copied to each.
+    There are at most HOT such keys, so they are broadcast.
+    """
+    n = left.count()
+    hot = left.groupBy(key).agg(F.count("*").alias("_c")).where((F.col("_c") * HOT > n) & (F.col("_c") > FEW))
+    hot = F.broadcast(hot.select(key, F.ceil(F.col("_c") * HOT / max(n, 1)).cast("int").alias("_s")))
+    salt = F.pmod(F.xxhash64(*left.columns), F.coalesce("_s", F.lit(1)))
+    dealt = left.join(hot, key, "left").withColumn("_salt", salt.cast("int")).drop("_s")
+    copied = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_s", F.lit(1)) - 1))).drop("_s")
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
 
 
 def remainder(id_col: str, divisor: int) -> Column:
@@ -119,4 +139,4 @@ def sampled(rows: DataFrame, label: str, key: Column, per_label: int) -> DataFra
     return rows.where(keep)
 
 
-__all__ = ["cut", "drop", "map_texts", "remainder", "sampled", "shared_dir", "slices"]
+__all__ = ["cut", "drop", "map_texts", "remainder", "sampled", "shared_dir", "slices", "spread_join"]

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, drop, map_texts
+from .common import cut, drop, map_texts, spread_join
 
 #: Words of a shingle, least similarity in hundredths.
 SHINGLE, LEAST = 5, 75
@@ -61,20 +61,26 @@ def half_keys(shingles: np.ndarray, halves: int, width: int) -> np.ndarray:
     return (key & np.uint64(_MASK - 1)) | side
 
 
+def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits of the whole set."""
+    import xxhash
+
+    f = xxhash.xxh3_128_digest(shingles.tobytes())
+    return int.from_bytes(f[:8], "big", signed=True), int.from_bytes(f[8:], "big", signed=True)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, halves: int = HALVES, width: int = WIDTH) -> DataFrame:
     """(id, n_shingles, f1, f2, keys) for each row: f1 and f2 are a 128-bit fingerprint of the whole set."""
 
     def make():
-        import xxhash
-
         def compute(texts):
             out = {"n_shingles": [], "f1": [], "f2": [], "keys": []}
             for t in texts:
                 s = shingle_set(t, shingle)
-                f = xxhash.xxh3_128_digest(s.tobytes())
+                f1, f2 = fingerprint(s)
                 out["n_shingles"].append(len(s))
-                out["f1"].append(int.from_bytes(f[:8], "big", signed=True))
-                out["f2"].append(int.from_bytes(f[8:], "big", signed=True))
+                out["f1"].append(f1)
+                out["f2"].append(f2)
                 out["keys"].append(half_keys(s, halves, width).view(np.int64) if len(s) else [])
             return out
 
@@ -84,12 +90,17 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHING
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """(id, shingles array<bigint>) for each row."""
+    """(id, f1, f2, shingles array<bigint>) for each row; f1 and f2 as in signatures()."""
 
     def make():
-        return lambda texts: {"shingles": [shingle_set(t, shingle).view(np.int64) for t in texts]}
+        def compute(texts):
+            sets = [shingle_set(t, shingle) for t in texts]
+            marks = [fingerprint(s) for s in sets]
+            return {"f1": [f for f, _ in marks], "f2": [f for _, f in marks], "shingles": [s.view(np.int64) for s in sets]}
+
+        return compute
 
-    return map_texts(docs, id_col, text_col, {"shingles": "array<bigint>"}, make, binary=True)
+    return map_texts(docs, id_col, text_col, {"f1": "bigint", "f2": "bigint", "shingles": "array<bigint>"}, make, binary=True)
 
 
 def similar(inter: Column, a: Column, b: Column, least: int) -> Column:
@@ -97,24 +108,27 @@ def similar(inter: Column, a: Column, b: Column, least: int) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough; sets: (node, n, shingles)."""
+    """The pairs (u, v) whose full sets are similar enough; pairs: a table of cut(), sets: (node, n, shingles).
+
+    A node of many pairs is dealt to several tasks: by v the sizes and the hubs' sets are copied there, by u each set goes once a pair.
+    """
     sizes = sets.select("node", "n")
     # the sizes alone already rule out most wrong pairs, before any set is moved
-    near = (
-        pairs.join(sizes.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u")
-        .join(sizes.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
-        .where((100 * F.least("nu", "nv") >= least * F.greatest("nu", "nv")))
-    )
+    near = spread_join(pairs, sizes.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
+    near = cut(near.join(sizes.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").where((100 * F.least("nu", "nv") >= least * F.greatest("nu", "nv"))))
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
     inter = F.size(F.array_intersect("su", "sv"))
-    return near.join(left, "u").join(right, "v").where(similar(inter, F.col("nu"), F.col("nv"), least)).select("u", "v")
+    out = cut(spread_join(near, right, "v").join(left, "u").where(similar(inter, F.col("nu"), F.col("nv"), least)).select("u", "v"))
+    drop(near)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for the nodes of edges (u, v): comp is the smallest node that is reachable.
 
-    Large-star and small-star steps, each a grouped minimum and a join, until the edges stay the same.
+    Large-star and small-star steps, each a grouped minimum and a join, until the edges stay the same. A node of many edges
+    is dealt to several tasks in the joins; the minima are combined before they are moved.
     Every step is written to the shared folder, and only a count and a checksum reach the driver.
     """
     now, last = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()), None
@@ -123,15 +137,18 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == last:
             break
         last = mark
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = cut(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut(spread_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = spread_join(large, least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v")
         after = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        drop(now)
+        drop(now, both, large)
         now = after
-    return now.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    out = now.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    out = cut(out)
+    drop(now)
+    return out
 
 
 def near_duplicates(
@@ -148,14 +165,18 @@ def near_duplicates(
        rarest shingles as a prefix that any similar set must meet, and pairs from different components that meet are confirmed.
        No candidates are dropped, and no table's classes are paired with each other.
 
+    Shingles are 64-bit hashes and sets are told apart by 128 bits, so two that differ count as equal with a chance of about 1e-19 a pair of shingles.
     Words are split at ASCII white space and A-Z lower-cased. Null or empty texts have no shingles and are in a
     component of their own. Rows with a null id are in no component (null, kept false). Repeated rows each get
-    the same result. An empty table gives an empty table. Other columns aren't read.
+    the same result. Of several texts under one id that all have the smallest id of their class, the one of the least fingerprint stands for
+    it in links; the others are linked to equal sets only. An empty table gives an empty table. Other columns aren't read.
+    Tables of steps in between are removed, but for three that the result is read from.
     """
     sig = cut(signatures(docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_body")), "_key", "_body", shingle, halves, width))
     full = sig.where("n_shingles > 0 and _key is not null")
     classes = cut(full.groupBy("f1", "f2").agg(F.min("_key").alias("node")))
-    reps = full.join(classes, ["f1", "f2"]).where("_key = node").select("node", "n_shingles", "keys").dropDuplicates(["node"])
+    first = classes.groupBy("node").agg(F.min(F.struct("f1", "f2")).alias("f")).select("node", "f.f1", "f.f2")
+    reps = full.join(first, ["f1", "f2"]).where("_key = node").select("node", "n_shingles", "keys").dropDuplicates(["node"])
     halved = reps.select("node", F.explode("keys").alias("key"))
     shared = halved.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     live = halved.join(shared, "key").groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most 2 * halves
@@ -164,11 +185,12 @@ def near_duplicates(
     tables = cut(tables.select("node", F.explode("one").alias("one"), "two").select("node", "one", F.explode("two").alias("two")).select("node", F.xxhash64("one", "two").alias("key")))
     hubs = tables.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
     stars = cut(tables.join(hubs, "key").where("node > hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct())
-    nodes = stars.select(F.col("u").alias("_key")).union(stars.select(F.col("v"))).distinct()
-    texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_body")).join(nodes.hint("shuffle_hash"), "_key", "left_semi").dropDuplicates(["_key"])
-    sets = cut(shingle_sets(texts, "_key", "_body", shingle).select(F.col("_key").alias("node"), F.size("shingles").cast("long").alias("n"), "shingles"))
-    edges = cut(verified(stars, sets, least))
-    comps = cut(components(edges))
+    nodes = stars.select(F.col("u").alias("node")).union(stars.select("v")).distinct().join(first, "node")
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("_body")).join(nodes.hint("shuffle_hash"), "node")
+    sets = shingle_sets(texts.select(F.struct("node", "f1", "f2").alias("of"), "_body"), "of", "_body", shingle).where("of.f1 = f1 and of.f2 = f2")
+    sets = cut(sets.select("of.node", F.size("shingles").cast("long").alias("n"), "shingles").dropDuplicates(["node"]))
+    edges = verified(stars, sets, least)
+    comps = components(edges)
 
     # classes that share a table with another component
     where = sets.select("node").join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
@@ -176,17 +198,20 @@ def near_duplicates(
     rest = cut(tables.join(open_keys, "key").select("node").distinct().join(where, "node"))
     meets = cut(prefixes(sets.join(rest.select("node"), "node", "left_semi"), least).join(rest, "node"))
     mixed = meets.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
-    meets = meets.join(mixed, "token")
-    left = meets.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * 2 * least / (100 + least)) + 1)
+    both = meets.join(mixed, "token")
+    left = both.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * 2 * least / (100 + least)) + 1)
     left = left.select("token", F.col("node").alias("u"), F.col("comp").alias("cu"), F.col("n").alias("nu"), F.col("rank").alias("ru"))
-    right = meets.select("token", F.col("node").alias("v"), F.col("comp").alias("cv"), F.col("n").alias("nv"), F.col("rank").alias("rv"))
+    right = both.select("token", F.col("node").alias("v"), F.col("comp").alias("cv"), F.col("n").alias("nv"), F.col("rank").alias("rv"))
     order = (F.col("nu") < F.col("nv")) | ((F.col("nu") == F.col("nv")) & (F.col("u") < F.col("v")))
     # what two sets can still share after their first common shingle must reach what the similarity asks for
     room = (1 + F.least(F.col("nu") - F.col("ru"), F.col("nv") - F.col("rv"))) * (100 + least) >= least * (F.col("nu") + F.col("nv"))
     likely = left.join(right, "token").where("cu <> cv").where(order & (100 * F.col("nu") >= least * F.col("nv")) & room)
-    more = cut(verified(likely.select("u", "v").distinct(), sets, least))
+    pairs = cut(likely.select("u", "v").distinct())
+    more = verified(pairs, sets, least)
     if not more.isEmpty():
+        drop(comps)
         comps = components(edges.unionByName(more))
+    drop(tables, stars, sets, edges, rest, meets, pairs, more)
     named = classes.join(comps, "node", "left").select("f1", "f2", F.coalesce("comp", "node").alias("_comp"))
     out = sig.join(named, ["f1", "f2"], "left")
     comp = F.when(F.col("n_shingles") > 0, F.col("_comp")).otherwise(F.col("_key"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.llm import bpe, chat, decontam, langid, neardup, quality, queries, secrets, toxicity, urls
-from docweave.llm.common import cut, remainder
+from docweave.llm.common import cut, remainder, spread_join
 from tests.conftest import SF
 
 WORD = re.compile(r"[^ \t-\r]+")
@@ -463,3 +463,30 @@ def test_pipeline_against_brute_force(spark):
             kept = {d: r["text"] for d, r in now.items()}
         docs = after
     assert all(r["decoded_sha256"] == hashlib.sha256(kept[d].encode()).hexdigest() for d, r in now.items())
+
+
+def test_spread_join_deals_hot_keys(spark):
+    left = cut(spark.range(20000).selectExpr("if(id % 3 = 0, 1, id) as k", "id as x"))
+    right = spark.range(20000).selectExpr("id as k", "id * 2 as y")
+    got = spread_join(left, right, "k")
+    assert got.columns == ["k", "x", "y"] and got.where("y = 2 * k").count() == 20000 and got.select("x").distinct().count() == 20000
+
+
+def test_neardup_ids_of_several_texts_and_pipeline_stages_on_odd_rows(spark, odd, empty):
+    """Links go by one text of an id, the same in every run; stages take nulls, repeats and empty tables."""
+    import corpus_pipeline as P
+
+    words = [f"m{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (1, "another text of the same id which is long enough"), (2, " ".join([*words[:39], "x"])), (3, "other"), (4, "other")]
+    out = [tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()]
+    assert len(out) == 5 and (4, 3) in out and len({c for d, c in out if d == 1}) == 1
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    table = spark.createDataFrame([(d, t, None, None, None) for d, t in ODD] + [(8, "second", "en", "s", 1), (8, "a first", "en", "s", 1)], columns)
+    for name, stage in P.STAGES:
+        for docs in (table, table.limit(0)):
+            got = stage(spark, docs, SF)
+            rows = got.collect()
+            assert name == "bpe" or got.columns == table.columns
+            if name == "near_dedup" and docs is table:
+                kept = [(r["doc_id"], r["text"]) for r in rows]
+                assert len(kept) == len(set(kept)) == 9 and (None, "no id here at all") in kept and (8, "a first") in kept
