@@ -37,39 +37,60 @@ def _most(bits: float) -> int:
     return int((math.log2(WINDOW) - bits) * WINDOW * 1e6)
 
 
+#: Counts of characters in a window, PACKED of them in a number, with five bits each (WINDOW is below 32).
+PACKED = 12
+#: Elements that are summed one by one; longer arrays by chunks of so many. Characters of a block from which pieces of a text are cut.
+CHUNK, BLOCK = 256, 4096
+
+
 def _entropy_window(candidate: str) -> str:
     """SQL for struct(a, z): the flagged stretch of a candidate, 0-based, end exclusive; a is -1 without one.
 
-    A window moves over the candidate; the count of the character that enters and of the one that leaves
-    change, and with them the sum of count * log2(count), so no window is counted anew.
+    A window moves over the candidate, whose characters are taken apart once; the count of the character that enters and of the one
+    that leaves change, and with them the sum of count * log2(count), so a step costs the same for any window and candidate.
     """
     units = "array(" + ",".join(map(str, UNITS)) + ")"
-    steps = f"""transform(sequence(1, length({candidate})), i -> struct(
-        instr('{ALPHABET}', substring({candidate}, i, 1)) as e,
-        if(i > {WINDOW}, instr('{ALPHABET}', substring({candidate}, i - {WINDOW}, 1)), 0) as l))"""
+    count = lambda c: f"cast(shiftrightunsigned(acc.n[p.{c} div {PACKED}], cast(p.{c} % {PACKED} * 5 as int)) & 31 as int)"
+    unit = lambda c: f"shiftleft(1L, cast(p.{c} % {PACKED} * 5 as int))"
+    steps = f"""transform(array(transform(split({candidate}, ''), x -> instr('{ALPHABET}', x))), codes -> transform(codes, (x, i) ->
+        struct(x as e, if(i >= {WINDOW}, codes[i - {WINDOW}], 0) as l)))[0]"""
     most = f"if(rlike({candidate}, '^[0-9a-fA-F]+$'), {_most(HEX_BITS)}, {_most(MIXED_BITS)})"
-    flag = f"acc.i >= {WINDOW} and acc.s <= {most}"
-    return f"""aggregate({steps},
-        named_struct('n', array_repeat(0, {len(ALPHABET) + 1}), 's', 0, 'i', 0, 'a', -1, 'z', -1),
+    flag = f"acc.i >= {WINDOW} and acc.s <= most"
+    scan = f"""aggregate({steps},
+        named_struct('n', array_repeat(0L, {len(ALPHABET) // PACKED + 1}), 's', 0, 'i', 0, 'a', -1, 'z', -1),
         (acc, p) -> named_struct(
-            'n', if(p.e = p.l, acc.n, transform(acc.n, (c, k) -> if(k = p.e, c + 1, if(k = p.l and p.l > 0, c - 1, c)))),
-            's', if(p.e = p.l, acc.s, acc.s + {units}[acc.n[p.e] + 1] - {units}[acc.n[p.e]]
-                + if(p.l > 0, {units}[acc.n[p.l] - 1] - {units}[acc.n[p.l]], 0)),
+            'n', if(p.e = p.l, acc.n, transform(acc.n, (c, k) -> c + if(k = p.e div {PACKED}, {unit("e")}, 0L) - if(p.l > 0 and k = p.l div {PACKED}, {unit("l")}, 0L))),
+            's', if(p.e = p.l, acc.s, acc.s + {units}[{count("e")} + 1] - {units}[{count("e")}]
+                + if(p.l > 0, {units}[{count("l")} - 1] - {units}[{count("l")}], 0)),
             'i', acc.i + 1,
             'a', if(acc.a < 0 and {flag}, acc.i - {WINDOW}, acc.a),
             'z', if({flag}, acc.i, acc.z)),
         acc -> named_struct('a', if(acc.a < 0 and {flag}, acc.i - {WINDOW}, acc.a), 'z', if({flag}, acc.i, acc.z)))"""
+    return f"transform(array({most}), most -> {scan})[0]"
+
+
+def _running(numbers: str, start: str, merge: str) -> str:
+    """SQL for the array of merge (of a and b) over all elements of numbers before each, from start on.
+
+    Chunks are merged one by one and then in themselves, so no array is built element by element and time stays in proportion.
+    """
+    fold = lambda of, first: f"aggregate({of}, {first}, (a, b) -> {merge})"
+    return f"""transform(array(transform(sequence(0, (size({numbers}) - 1) div {CHUNK}), c -> slice({numbers}, cast(c * {CHUNK} + 1 as int), {CHUNK}))), parts ->
+        transform(array(aggregate(parts, array({start}), (acc, p) -> concat(acc, array({fold("p", "element_at(acc, -1)")})))), befores ->
+            flatten(transform(parts, (p, c) -> transform(p, (x, i) -> {fold("slice(p, 1, i)", "befores[c]")}))))[0])[0]"""
 
 
 def _placed(found: str, between: str) -> str:
     """SQL for array(struct(start, end, text)) of matches, from them and the text between them."""
-    return f"""aggregate(sequence(1, size({found})),
-        named_struct('at', 0, 'out', cast(array() as array<struct<s:int,z:int,m:string>>)),
-        (acc, i) -> named_struct(
-            'at', acc.at + length({between}[i - 1]) + length({found}[i - 1]),
-            'out', concat(acc.out, array(named_struct('s', acc.at + length({between}[i - 1]),
-                'z', acc.at + length({between}[i - 1]) + length({found}[i - 1]), 'm', {found}[i - 1])))),
-        acc -> acc.out)"""
+    steps = f"transform({found}, (m, i) -> length({between}[i]) + length(m))"
+    return f"""transform(array({steps}), steps -> transform(array({_running("steps", "0", "a + b")}), before ->
+        transform({found}, (m, i) -> named_struct('s', before[i] + length({between}[i]), 'z', before[i] + steps[i], 'm', m)))[0])[0]"""
+
+
+def _inside(spans: str, x: str) -> str:
+    """SQL: whether x lies in one of spans (struct(s, z)), which follow each other without overlap; found by halving."""
+    last = f"aggregate(sequence(30, 0, -1), 0, (p, k) -> if(p + shiftleft(1L, k) <= size({spans}) and {spans}[cast(p + shiftleft(1L, k) - 1 as int)].s <= {x}.s, cast(p + shiftleft(1L, k) as int), p))"
+    return f"(size({spans}) > 0 and transform(array({last}), p -> p > 0 and {x}.z <= {spans}[greatest(p, 1) - 1].z)[0])"
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "spans", by_piece: bool = False) -> DataFrame:
@@ -104,12 +125,13 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "spans"
         parts = f"transform({parts}, y -> named_struct('s', x.s + y.s, 'z', x.s + y.z, 'm', y.m))"
         pieces = f"flatten(transform(__secret_entropy_p, x -> if(rlike(x.m, '{ALLOW_CUT}'), {parts}, array(x))))"
         df = df.withColumn("__secret_entropy_p", F.expr(f"filter({pieces}, x -> length(x.m) >= {WINDOW})"))
-    df = df.withColumn("__secret_base", F.expr(f"concat({', '.join(base)})"))
+    df = df.withColumns({f"__secret_in{k}": F.expr(b) for k, b in enumerate(base)})
+    df = df.withColumn("__secret_base", F.expr("concat(__secret_in0, __secret_in1, __secret_in2)"))
     df = df.withColumn(
         "__secret_c",
         F.expr(
             f"""filter(__secret_entropy_p, x -> rlike(x.m, '[0-9]') and rlike(x.m, '[A-Za-z]') and not ({allowed})
-            and not exists(__secret_base, b -> b.s <= x.s and x.z <= b.z))"""
+            and not ({" or ".join(_inside(f"__secret_in{k}", "x") for k in range(3))}))"""
         ),
     )
     df = df.withColumn("__secret_w", F.expr(f"transform(__secret_c, x -> struct(x.s as s, x.m as m, {_entropy_window('x.m')} as w))"))
@@ -127,16 +149,16 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> D
     Candidates are judged by piece. Null texts stay null. All columns stay, those that no span touches with the same text.
     """
     found = find_secrets(docs, text_col, "__spans", by_piece=True)
-    joined = """aggregate(__spans, cast(array() as array<struct<s:int,z:int>>), (acc, x) ->
-        if(size(acc) > 0 and x.start < element_at(acc, -1).z,
-           concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', element_at(acc, -1).s, 'z', greatest(element_at(acc, -1).z, x.end)))),
-           concat(acc, array(named_struct('s', x.start, 'z', x.end)))))"""
-    found = found.withColumn("__merged", F.expr(joined))
     quoted = f"`{text_col}`"
-    pieces = f"""concat(transform(__merged, (x, i) -> concat(substring({quoted}, if(i = 0, 1, __merged[i - 1].z + 1), x.s - if(i = 0, 0, __merged[i - 1].z)), '{mask}')),
-        array(substring({quoted}, element_at(__merged, -1).z + 1)))"""
-    text = F.when(F.size("__merged") > 0, F.expr(f"array_join({pieces}, '')")).otherwise(F.col(text_col))
-    return found.withColumn(text_col, text).drop("__spans", "__merged")
+    # of each span: the furthest end before it; it opens a new mask if it begins there or later
+    found = found.withColumn("__upto", F.expr(f"if(size(__spans) > 0, transform(array(transform(__spans, x -> x.end)), ends -> {_running('ends', '0', 'greatest(a, b)')})[0], array())"))
+    found = found.withColumn("__blocks", F.expr(f"if(size(__spans) > 0, transform(sequence(0, length({quoted}) div {BLOCK}), k -> substring({quoted}, cast(k * {BLOCK} + 1 as int), {BLOCK})), array())"))
+    piece = lambda a, z: f"""array_join(transform(if({a} < {z}, sequence({a} div {BLOCK}, ({z} - 1) div {BLOCK}), array()), k ->
+        substring(__blocks[cast(k as int)], cast(greatest({a} - k * {BLOCK}, 0) + 1 as int), cast(least({z} - k * {BLOCK}, {BLOCK}) - greatest({a} - k * {BLOCK}, 0) as int))), '')"""
+    pieces = f"""concat(transform(__spans, (x, i) -> if(x.start >= __upto[i], concat({piece("__upto[i]", "x.start")}, '{mask}'), '')),
+        transform(array(array_max(transform(__spans, x -> x.end))), e -> {piece("e", f"length({quoted})")}))"""
+    text = F.when(F.size("__spans") > 0, F.expr(f"array_join({pieces}, '')")).otherwise(F.col(text_col))
+    return found.withColumn(text_col, text).drop("__spans", "__upto", "__blocks")
 
 
 def joined(spans: str) -> Column:
