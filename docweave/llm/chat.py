@@ -53,7 +53,11 @@ def preference_segments(
 
 
 def cut_off(conversations: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conversations with the last assistant turn of each cut off at half its characters: a worse answer to prefer against."""
+    """The four columns of conversations, the last assistant turn of each cut off at half its characters: a worse answer to prefer against.
+
+    A conversation without an assistant turn, or whose last one has no text, stays as it is, so it makes no pair with itself.
+    """
+    conversations = conversations.select(key, turn, role, text)
     last = conversations.where(F.col(role) == TRAINED_ROLE).groupBy(F.col(key).alias("_k")).agg(F.max(turn).alias("_last"))
     joined = conversations.join(last, F.col(key) == F.col("_k"), "left")
     half = F.expr(f"substring(`{text}`, 1, cast(floor(length(`{text}`) / 2) as int))")

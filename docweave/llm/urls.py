@@ -96,7 +96,6 @@ class Automaton:
         state = np.tile(self.begin, (len(texts), 1))
         one, top = np.uint64(1), np.uint64(63)
         fixed = np.zeros(len(texts), bool)  # states that no further character changes
-        settled = self.keeps.min(axis=0) if len(self.keeps) else self.begin * 0
         settled = np.bitwise_and.reduce(self.keeps, axis=0)
         final = np.zeros(self.words, np.uint64)
         for j in self.ends:

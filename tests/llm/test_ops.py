@@ -106,6 +106,62 @@ def test_quality(spark, odd, empty):
     assert quality.clean(empty).count() == 0
 
 
+def test_line_rules():
+    fails = lambda line, **more: quality.line_fails(line, WORD.findall(line), **more)
+    assert fails("Home | About | News | Contact") == "navigation" and fails("Home About News Contact Help") == "navigation"
+    assert fails("this line of prose has nine words without end") == "punctuation" and fails("this line of prose has nine words without end.") is None
+    assert fails("Two words") == "punctuation" and fails("A plain heading here") is None and fails("$ % # &") == "punctuation"
+    assert fails("See our Privacy Policy for more.") == "boilerplate" and fails("A line, learned.", learned={quality.line_hash("a  LINE, learned.")}) == "boilerplate"
+    menu = [(x, x.split()) for x in ("Start here", "Products", "All prices", "This is a sentence.", "Shop", "Cart")]
+    assert quality.in_menus(menu) == [True] * 3 + [False] * 3 and quality.in_menus([]) == []
+    assert quality.assess("Start here\nProducts\n\nAll prices\nThis is a sentence that is kept as it is.")["cleaned"] == "\nThis is a sentence that is kept as it is."
+
+
+def test_quality_against_brute_force(spark):
+    """All counts and verdicts of whole texts, with lines learned by counting contexts in plain Python, ties and repeated rows included."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    random.seed(19)
+    name = lambda: "".join(random.choices("abcdefghij", k=8))
+    more = [(10**6 + k, "\n".join([f"First line {name()} of it.", "Join 12 of our readers today.", f"Last one {name()} here."][: 2 + k % 2])) for k in range(60)]
+    copies = [(2 * 10**6 + k, "A copied page of a site.\nThat says the same in all copies.\nAnd ends like this.") for k in range(60)]
+    texts = [tuple(r) for r in docs.collect()] + more + more[:5] + copies
+    before, after, n = collections.defaultdict(set), collections.defaultdict(set), collections.Counter()
+    plain = lambda line: re.sub(r"\d+", "0", " ".join(WORD.findall(line.lower())))
+    for _, t in texts:
+        lines = ["", *[plain(x) for x in (t or "").split("\n") if WORD.search(x)], ""]
+        pairs = {(a, b, c) for a, b, c in zip(lines, lines[1:], lines[2:], strict=False)}
+        for side, at in ((before, 0), (after, 2)):
+            for x, y in {(p[1], p[at]) for p in pairs}:
+                side[x].add(y)
+                n[(at, x)] += 1
+    learned = {x for side, at in ((before, 0), (after, 2)) for x, ys in side.items() if len(ys) >= 20 and 4 * len(ys) >= n[(at, x)]}
+    assert plain("Join 7 of our readers today.") in learned and plain("And ends like this.") not in learned
+    got = quality.clean(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len(got) == len(texts)
+    by = collections.Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"], r["n_lost_words"]) for r in got)
+    want = collections.Counter()
+    for d, t in texts:
+        t = t or ""
+        words = WORD.findall(t)
+        windows = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        again = len({i + k for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for k in range(8)})
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        short = [len(WORD.findall(x)) <= 4 and not quality.closed(x) for x in lines]
+        menu = [any(all(short[j : j + 3]) and len(short[j : j + 3]) == 3 for j in range(max(0, i - 2), i + 1)) for i in range(len(lines))]
+        lost = sum(len(WORD.findall(x)) for x, m in zip(lines, menu, strict=True) if plain(x) in learned or quality.line_fails(x, WORD.findall(x), m))
+        failed = len(words) < 20 or 100 * again > 30 * len(words)
+        symbols, dups = sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines))
+        want[(d, len(words), sum(map(len, words)), symbols, dups, again, failed, not failed and 100 * lost <= 50 * len(words), lost)] += 1
+    assert by == want
+
+
+def test_quality_keeps_good_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.clean(docs.repartition(8)).where("n_words >= 20").select("doc_id", "kept").join(labels.select("doc_id", "quality"), "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r["quality"], r["kept"]): r["count"] for r in rows}
+    assert n[(1, True)] >= 0.99 * (n[(1, True)] + n.get((1, False), 0)) and n.get((0, False), 0) >= 0.3 * (n.get((0, False), 0) + n.get((0, True), 0)), n
+
+
 @pytest.fixture(scope="module")
 def held_out(spark):
     """(lang, toxic, score) of the rows of sf0.1 that nothing was learned from."""
@@ -463,6 +519,31 @@ def test_globs():
         assert hits[:, k].tolist() == want and hits[:, k + 5 * 29].tolist() == want
 
 
+def test_hundreds_of_rules(spark):
+    """Against a loop over the rules; clashing columns and an empty table."""
+    random.seed(20)
+    hosts = [".".join(random.choices(["a", "b", "shop", "news", "x1"], k=random.randrange(1, 4))) + random.choice([".com", ".net", ""]) for _ in range(400)]
+    rules = tuple(urls.Rule(h, "/" + "/".join(random.choices(["en", "p", "q"], k=random.randrange(3))), random.choice(["allow", "block"])) for h in hosts)
+    rows = [(i, "http://" + ".".join(random.choices(["a", "b", "shop", "news", "x1"], k=random.randrange(1, 5))) + random.choice([".com", ".net", ""]) + "/" + "/".join(random.choices(["en", "p", "q"], k=random.randrange(4)))) for i in range(500)]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({n: F.lit("c") for n in ("host", "path", "rule", "verdict", "_id", "_text")})
+    out = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(df, rules, extra=()).collect()}
+    for i, url in rows:
+        host, path = urls.canonical(url)
+        fits = [(-len(r.host + r.path), k, r) for k, r in enumerate(rules) if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = min(fits)[2] if fits else None
+        assert out[i] == ((best.label, best.verdict) if best else (None, "allow"))
+    assert urls.judge(df.limit(0)).count() == 0
+
+
+def test_chat_long_and_clashing(spark):
+    """A very long text, a long conversation, and columns named as working ones."""
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", "w " * (200_000 if t == 3 else 1)) for t in range(2000)] + [(2, 0, "assistant", None), (3, 0, "user", "only")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({n: F.lit("c") for n in ("_k", "_last", "_key", "part", "train", "_sides")})
+    out = chat.preference_segments(df, chat.cut_off(df)).collect()
+    assert sorted((r["conv_id"], r["part"], r["turn"]) for r in out) == sorted([(1, "prompt", t) for t in range(1999)] + [(1, "chosen", 1999), (1, "rejected", 1999), (2, "prompt", 0), (3, "prompt", 0)])
+    assert chat.preference_report(df).columns == chat.preference_report(df.limit(0)).columns
+
+
 def test_urls_odd(spark):
     rows = [(1, None), (2, ""), (3, "no scheme.com/"), (4, "http://COM/x?y"), (5, "http://a.net/es/1"), (5, "http://a.net/es/1"), (6, "http://xcom/"), (7, "http://com")]
     out = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
