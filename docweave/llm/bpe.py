@@ -17,7 +17,7 @@ from .common import cut, map_texts
 #: Entries a task keeps of what it has encoded; then it starts again, so memory stays bounded.
 MEMO = 400_000
 #: Bytes of piece counts that are broadcast at most, and what a row of them takes besides its word.
-KNOWN_BYTES, ROW_BYTES = 16 << 20, 64
+KNOWN_BYTES, ROW_BYTES = 32 << 20, 64
 #: Pre-tokens that are counted in one call.
 WORDS = 8192
 
@@ -195,21 +195,21 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     pieces = cut(piece_counts(texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), spec))
     least = commonly(pieces, known_bytes)
     common = F.broadcast(pieces.where(F.col("n") >= least).select("word", "pieces"))
-    rows = texts.select("_key", "f1", "f2", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("freq"))))
-    sums = texts.select("_key", "f1", "f2", "n_bytes", F.lit(1).cast("long").alias("copies"), F.col("special").alias("tokens"))
+    rows = texts.select("_key", "f1", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("freq"))))
+    sums = texts.select("_key", "f1", "n_bytes", F.lit(1).cast("long").alias("copies"), F.col("special").alias("tokens"))
     joins = [rows.join(common, "word")]
     if least > 1:
         joins.append(rows.join(common, "word", "left_anti").join(pieces.where(F.col("n") < least).select("word", "pieces").hint("merge"), "word"))
     for joined in joins:
-        sums = sums.unionByName(joined.select("_key", "f1", "f2", F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("copies"), (F.col("freq") * F.col("pieces")).alias("tokens")))
+        sums = sums.unionByName(joined.select("_key", "f1", F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("copies"), (F.col("freq") * F.col("pieces")).alias("tokens")))
     # rows of the same id and text fall together, and come apart again
-    sums = sums.groupBy("_key", "f1", "f2").agg(F.max("n_bytes").alias("n_bytes"), F.sum("copies").alias("copies"), F.sum("tokens").alias("tokens"))
+    sums = sums.groupBy("_key", "f1").agg(F.max("n_bytes").alias("n_bytes"), F.sum("copies").alias("copies"), F.sum("tokens").alias("tokens"))
     sums = sums.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     return sums.select(F.col("_key").alias(id_col), "n_bytes", F.expr("tokens div copies").alias("n_tokens"))
 
 
 def frequencies(texts: DataFrame, spec: str) -> DataFrame:
-    """(_key, f1, f2, n_bytes, special, words, counts) for each text: a fingerprint, its special tokens, its distinct pre-tokens and how often each is in it."""
+    """(_key, f1, n_bytes, special, words, counts) for each text: a hash (it only tells texts of one id apart), its special tokens, its distinct pre-tokens and how often each is in it."""
 
     def make():
         import xxhash
@@ -217,13 +217,11 @@ def frequencies(texts: DataFrame, spec: str) -> DataFrame:
         split = PreTokens(spec).split
 
         def compute(texts):
-            out = {"f1": [], "f2": [], "n_bytes": [], "special": [], "words": [], "counts": []}
+            out = {"f1": [], "n_bytes": [], "special": [], "words": [], "counts": []}
             for t in texts:
                 raw = t.encode("utf-8", "surrogatepass") if t else b""
-                digest = xxhash.xxh3_128_digest(raw)
                 found, special = split(t) if t else ({}, 0)
-                out["f1"].append(int.from_bytes(digest[:8], "big", signed=True))
-                out["f2"].append(int.from_bytes(digest[8:], "big", signed=True))
+                out["f1"].append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
                 out["n_bytes"].append(len(raw))
                 out["special"].append(special)
                 out["words"].append(list(found))
@@ -232,7 +230,7 @@ def frequencies(texts: DataFrame, spec: str) -> DataFrame:
 
         return compute
 
-    fields = {"f1": "bigint", "f2": "bigint", "n_bytes": "bigint", "special": "bigint", "words": "array<string>", "counts": "array<int>"}
+    fields = {"f1": "bigint", "n_bytes": "bigint", "special": "bigint", "words": "array<string>", "counts": "array<int>"}
     return map_texts(texts, "_key", "_body", fields, make)
 
 
