@@ -24,21 +24,30 @@ def image_stats(images: DataFrame, keys: list[str], cfg: EngineConfig) -> DataFr
     )
 
 
-def page_quality(pages: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """pages (text, images, full_images) with chars, garbled, url_chars, score in hundredths and high_quality."""
-    counted = pages.withColumn("clean", T.normalize(F.col("text"))).select(
+def page_counts(pages: DataFrame) -> DataFrame:
+    """pages (text, ...) with chars, garbled and url_chars in place of text."""
+    return pages.withColumn("clean", T.normalize(F.col("text"))).select(
         *[c for c in pages.columns if c != "text"], T.visible_chars(F.col("clean")).alias("chars"), T.garbled_chars(F.col("clean")).alias("garbled"), T.url_chars(F.col("clean")).alias("url_chars")
     )
+
+
+def page_verdict(cfg: EngineConfig) -> Column:
+    """struct(score in hundredths, high_quality) of a row of page_counts() with images and full_images."""
     n = F.greatest("chars", F.lit(1))
-    percent = round(cfg.garbled_ratio * 100)
     off = lambda test, k: F.when(test, k).otherwise(0)
     score = (
         F.lit(100) - off(F.col("chars") < cfg.min_page_chars, 55) - off(F.col("full_images") > 0, 45) - off(F.col("garbled") > 0, 35)
-        - off(F.col("garbled") * 100 > n * percent, 25) - off(F.col("url_chars") * 100 > n * 25, 15)
+        - off(F.col("garbled") / n > cfg.garbled_ratio, 25) - off(F.col("url_chars") * 100 > n * 25, 15)
         - off((F.col("images") > 0) & (F.col("chars") < max(5 * cfg.min_page_chars, 100)), 15)
     )
-    scored = counted.withColumn("score", F.greatest(F.lit(0), score))
-    return scored.withColumn("high_quality", (F.col("chars") >= cfg.min_page_chars) & (F.col("score") >= 75))
+    score = F.greatest(F.lit(0), score)
+    return F.struct(score.alias("score"), ((F.col("chars") >= cfg.min_page_chars) & (score >= 75)).alias("high_quality"))
+
+
+def page_quality(pages: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """pages (text, images, full_images) with chars, garbled, url_chars, score in hundredths and high_quality."""
+    counted = page_counts(pages)
+    return counted.withColumn("_v", page_verdict(cfg)).select(*counted.columns, "_v.score", "_v.high_quality")
 
 
 def document_quality(pages: DataFrame, key: str, cfg: EngineConfig) -> DataFrame:
@@ -55,17 +64,20 @@ def document_quality(pages: DataFrame, key: str, cfg: EngineConfig) -> DataFrame
 
 def route(documents: DataFrame, cfg: EngineConfig) -> DataFrame:
     """documents of document_quality() with route and reason."""
+    return documents.withColumn("_r", route_of(cfg)).select(*documents.columns, "_r.route", "_r.reason")
+
+
+def route_of(cfg: EngineConfig) -> Column:
+    """struct(route, reason) of a row of document_quality()."""
     n = F.greatest("pages", F.lit(1))
     usable = (F.col("usable") > 0) & (F.col("chars") >= cfg.min_page_chars) & (F.col("usable") / n >= cfg.usable_ratio)
     complete = (F.col("pages") > 0) & (F.col("high_quality") > 0) & (F.col("high_quality") / n >= cfg.high_quality_ratio)
     pair = lambda a, b: F.struct(F.lit(a).alias("route"), F.lit(b).alias("reason"))
     if cfg.route_mode == "ocr":
-        chosen = pair("ocr", "forced_ocr")
-    elif cfg.route_mode == "text":
-        chosen = F.when(usable, pair("text", "forced_text")).otherwise(pair("error", "text_layer_not_usable"))
-    else:
-        chosen = F.when(complete, pair("text", "text_layer_complete")).when(usable, pair("page_image", "text_layer_incomplete")).otherwise(pair("ocr", "text_layer_not_usable"))
-    return documents.withColumn("_r", chosen).select(*documents.columns, "_r.route", "_r.reason")
+        return pair("ocr", "forced_ocr")
+    if cfg.route_mode == "text":
+        return F.when(usable, pair("text", "forced_text")).otherwise(pair("error", "text_layer_not_usable"))
+    return F.when(complete, pair("text", "text_layer_complete")).when(usable, pair("page_image", "text_layer_incomplete")).otherwise(pair("ocr", "text_layer_not_usable"))
 
 
 def ocr_audit(pages: DataFrame) -> DataFrame:

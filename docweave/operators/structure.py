@@ -47,11 +47,12 @@ def demoted(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def block_ids(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """lines (text, role) with block_id: wrapped lines share their block, in closed form.
+    """lines (text, role) with block_id: wrapped lines share their block, in closed form. Lines are stripped, and those without text left out.
 
     A list item stays open unless it ends a sentence otherwise than by a colon; a body line stays open until any
     terminal mark. The last row that opened or closed a list tells whether a body line belongs to an item.
     """
+    lines = lines.withColumn("text", T.strip(F.col("text"))).where("text <> ''")
     w = Window.partitionBy(*keys).orderBy(order)
     end, colon = T.terminal(F.col("text")), F.col("text").rlike(P.COLON)
     closes = end & ~colon

@@ -1,4 +1,4 @@
-"""q01 to q48: each operator over the driver's tables."""
+"""q01 to q62: each operator over the driver's tables."""
 
 from __future__ import annotations
 
@@ -11,10 +11,13 @@ from ..functions import text as T
 from ..operators import blocks as B
 from ..operators import geometry as G
 from ..operators import jobs as J
+from ..operators import measures as M
+from ..operators import pages as PG
 from ..operators import quality as Q
 from ..operators import structure as S
 from ..operators import tables as TB
 from ..operators.config import EngineConfig
+from ..sinks import docx as DX
 from ..sources.tables import table
 from . import views as V
 
@@ -61,15 +64,23 @@ def q07_doc_quality(spark, d):
 
 
 def q08_doc_route(spark, d):
-    out = None
+    """Texts are normalised and counted once; the counts meet each threshold, and only then they are scored."""
+    talk = table(spark, d, "conversations").selectExpr("concat('c', conv_id) as doc", "text", "0 as images", "0 as full_images")
+    images = Q.image_stats(V.page_images(spark, d), ["doc_id"], CFG)
+    pages = V.page_texts(spark, d).join(images, "doc_id", "left").fillna(0, ["images", "full_images"]).select(F.col("source").alias("doc"), "text", "images", "full_images")
+    counted = Q.page_counts(pages.unionByName(talk))
+    each = F.array(*[F.struct(F.lit(n).alias("min_page_chars"), Q.page_verdict(EngineConfig(min_page_chars=n)).alias("v")) for n in ROUTE_MIN_CHARS])
+    scored = counted.select("*", F.inline(each)).select("doc", "min_page_chars", "chars", "garbled", "url_chars", "full_images", "v.score", "v.high_quality")
+    rows = None
     for n in ROUTE_MIN_CHARS:
-        cfg = EngineConfig(min_page_chars=n)
-        talk = table(spark, d, "conversations").selectExpr("concat('c', conv_id) as doc", "text", "0 as images", "0 as full_images")
-        by_talk = Q.route(Q.document_quality(Q.page_quality(talk, cfg), "doc", cfg), cfg)
-        by_source = Q.route(Q.document_quality(_pages(spark, d, cfg).withColumnRenamed("source", "doc"), "doc", cfg), cfg)
-        rows = by_source.unionByName(by_talk).select("doc", F.lit(n).cast("long").alias("min_page_chars"), "route", "reason")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        usable = F.count_if((F.col("min_page_chars") == n) & (F.col("chars") >= n))
+        rows = usable if rows is None else rows + usable
+    documents = scored.groupBy("doc", "min_page_chars").agg(F.count("*").alias("pages"), rows.alias("usable"), F.count_if("high_quality").alias("high_quality"), F.sum("chars").alias("chars"))
+    route = None
+    for n in ROUTE_MIN_CHARS:
+        pair = Q.route_of(EngineConfig(min_page_chars=n))
+        route = F.when(F.col("min_page_chars") == n, pair) if route is None else route.when(F.col("min_page_chars") == n, pair)
+    return documents.withColumn("r", route).select("doc", F.col("min_page_chars").cast("long").alias("min_page_chars"), "r.route", "r.reason")
 
 
 def q09_line_roles_text(spark, d):
@@ -276,8 +287,8 @@ def q40_deadlines(spark, d):
 
 def q41_ttl_expiry(spark, d):
     last = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("finished"))
-    now = table(spark, d, "events").agg(F.max("ts")).first()[0]
-    return last.where(~J.expired(F.col("finished"), F.lit(now).cast("timestamp_ntz"), CFG.ttl_s)).select("user_id")
+    now = table(spark, d, "events").agg(F.max("ts").alias("now"))  # one row, broadcast
+    return last.join(F.broadcast(now), ~J.expired(F.col("finished"), F.col("now"), CFG.ttl_s)).select("user_id")
 
 
 def q42_admission_queue(spark, d):
@@ -288,8 +299,9 @@ def q42_admission_queue(spark, d):
 def q43_upsert_delete(spark, d):
     records = table(spark, d, "orders").selectExpr("o_orderkey as id", "o_orderstatus as state", "o_custkey as owner")
     changes = records.where("id % 7 = 0").withColumn("state", F.lit("X")).unionByName(records.where("id % 11 = 0 and id % 7 <> 0").selectExpr("-id as id", "'N' as state", "owner"))
+    changes = changes.withColumn("n", F.lit(1)).unionByName(records.where("id % 14 = 0").selectExpr("id", "'Y' as state", "owner", "2 as n"))
     gone = records.where("owner % 13 = 0").select("id")
-    return J.delete(J.upsert(records, changes, "id"), gone, "id").groupBy("state").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    return J.delete(J.upsert(records, changes, "id", "n"), gone, "id").groupBy("state").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 def q44_catalogue_default(spark, d):
@@ -320,4 +332,129 @@ def q48_sanitize_names(spark, d):
     return table(spark, d, "pages").select("page_id", T.safe_name(F.col("url")).alias("name"))
 
 
+def q49_page_metrics(spark, d):
+    bounds = F.expr("array(0.0D, p_size * 1.0D, p_size * 1.0D + (p_partkey % 7) * 9 - 18, 900.0D + p_size)")
+    rows = table(spark, d, "part").select("p_partkey", bounds.alias("b"), F.expr("p_size * 40 + 100").alias("w"), F.expr("(p_partkey % 50) * 30 + 200").alias("h"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    widths, scale = M.column_widths(F.col("b"), F.lit(6.0)), M.width_scale(F.col("b"), F.lit(6.0))
+    whole = lambda x, n: F.round(x * n).cast("long")
+    return rows.select(
+        "p_partkey", whole(total(M.steps(F.col("b"))), 10).alias("height"), whole(F.array_min(M.steps(F.col("b"))), 10).alias("least"), whole(total(widths), 1000).alias("width"),
+        whole(total(M.row_heights(F.col("b"), scale)), 1000).alias("rows"), whole(M.render_scale(F.col("w"), F.col("h"), 1_000_000), 100000).alias("render"), M.image_quality(F.col("w") - 150).cast("long").alias("quality"))
+
+
+#: Event types as stages of an export.
+STAGE = {"view": "text_layout_started", "click": "text_layout_completed", "purchase": "ocr_text_completed"}
+
+
+def q50_stage_progress(spark, d):
+    stage = F.create_map(*[F.lit(x) for kv in STAGE.items() for x in kv])[F.col("event_type")]
+    rows = table(spark, d, "events").select("event_type", M.stage_progress(F.coalesce(stage, F.lit("other")), M.page_progress(F.col("event_id") % 9, F.col("user_id") % 5)).alias("progress"))
+    return rows.groupBy("event_type", "progress").agg(F.count("*").alias("n")).select("event_type", F.col("progress").cast("long"), "n")
+
+
+def _jobs(spark, d):
+    return table(spark, d, "orders").selectExpr(
+        "o_orderkey as id", "element_at(array('queued', 'processing', 'succeeded', 'failed', 'timed_out', 'cancelled'), cast(o_orderkey % 6 + 1 as int)) as status",
+        "o_custkey % 4 as attempt", "1 as retries", "o_orderkey % 5 > 0 as has_input", "o_custkey % 3 > 0 as has_output", "if(o_custkey % 7 = 0, 'timed_out', null) as reported", "o_orderdate as created")
+
+
+def q51_job_lifecycle(spark, d):
+    c = F.col
+    return _jobs(spark, d).select(
+        "id", J.recovered(c("status"), c("has_input"), c("attempt"), c("retries")).alias("recovered"), J.exited(c("status"), c("has_output"), c("reported"), c("attempt"), c("retries")).alias("exited"),
+        J.cancelled(c("status")).alias("cancelled"), J.shut_down(c("status")).alias("stopped"), J.download_status(c("status"), c("has_output")).cast("long").alias("download"),
+        J.download_url(c("id"), c("status")).alias("url"), J.page_count_status(c("attempt"), c("id") % 10 == 0, 2).cast("long").alias("pages"))
+
+
+def q52_latest_state(spark, d):
+    payload = """case when event_id % 11 = 0 then '{"status": "brok' when event_id % 5 = 0 then concat('{"progress": "', event_id % 100, '", "route": "ocr"}')
+        when event_id % 7 = 0 then concat('{"status": 5, "table_count": -1, "progress": ', event_id % 100, '}')
+        else concat('{"status": "', event_type, '", "table_count": ', user_id % 4, '}') end"""
+    out = J.latest_state(table(spark, d, "events").selectExpr("user_id", "event_id", f"{payload} as payload"), "user_id", "event_id")
+    return out.select("user_id", "status", F.col("progress").cast("long"), "route", F.col("table_count").cast("long"))
+
+
+def q53_scheduler(spark, d):
+    return J.started(_jobs(spark, d).where("status = 'queued'"), "status", "created", "id", 4).select("id")
+
+
+def _tables_of_documents(spark, d):
+    boxes = _boxes(spark, d)
+    return boxes.withColumn("table_no", F.when(F.col("top") < 200, 0).otherwise(1))
+
+
+def q54_page_events(spark, d):
+    out = PG.events(V.lines(spark, d), _tables_of_documents(spark, d), ["doc_id"])
+    return out.select("doc_id", F.col("kind").cast("long"), F.coalesce(F.col("line_no"), F.col("table_no").cast("long")).alias("no"), "seq", "segment")
+
+
+def q55_page_composition(spark, d):
+    out = PG.compose(V.lines(spark, d), _tables_of_documents(spark, d), ["doc_id"], F.col("doc_id") % 2 == 0)
+    return out.select("doc_id", "segment", "block_id", "role", "text", "list_id")
+
+
+def q56_recognised_blocks(spark, d):
+    label = "element_at(array('text', 'doc_title', 'abstract', 'abstract', 'table', 'text'), cast((conv_id + turn) % 6 + 1 as int))"
+    content = "case when (conv_id + turn) % 6 = 3 then concat('Summary', chr(10), text) when (conv_id + turn) % 6 = 5 and turn % 4 = 0 then concat('<TABLE><tr><td>', text, '</td></tr></TABLE>') else text end"
+    rows = PG.recognised_lines(table(spark, d, "conversations").selectExpr("conv_id", "turn", f"{label} as label", f"{content} as content"), ["conv_id"], "turn")
+    return rows.groupBy("conv_id", "turn", "kind").agg(F.count("*").alias("lines"), F.count("role").alias("heads"), F.sum(F.length("text")).alias("chars"))
+
+
+def q57_page_sizes(spark, d):
+    pages = table(spark, d, "lineitem").selectExpr("l_orderkey as id", "cast(l_linenumber - 1 as int) as page_no")
+    sizes = table(spark, d, "orders").selectExpr("o_orderkey as id", "explode(sequence(0, cast(o_orderkey % 3 as int))) as page_no").selectExpr("id", "page_no", "(id % 9) * 72.0D + page_no * 36 as points")
+    out = PG.clamped(pages, sizes, ["id"]).select("id", "page_no", F.round(M.page_inches(F.col("points")) * 1000).cast("long").alias("milli_inches"))
+    return out.groupBy("id", "page_no").agg(F.max("milli_inches").alias("milli_inches"), F.count("*").alias("n")).select("id", F.col("page_no").cast("long"), "milli_inches", "n")
+
+
+def q58_given_roles(spark, d):
+    given = F.array(F.lit("title"), F.when(F.col("doc_id") % 2 == 0, "heading1"))
+    return V.role_lines(spark, d).select("doc_id", "line_no", PG.role_at(given, F.col("line_no") - 1, F.col("role")).alias("role"))
+
+
+def q59_render_deltas(spark, d):
+    source = V.lines(spark, d).groupBy("doc_id").agg(F.count("*").alias("pages"))
+    rendered = source.where("doc_id % 3 = 0").selectExpr("doc_id", "pages + doc_id % 4 - 1 as rendered")
+    return source.join(rendered, "doc_id", "left").select("doc_id", "pages", "rendered", (F.col("rendered") - F.col("pages")).alias("delta"))
+
+
+def q60_recognition_stats(spark, d):
+    scores = F.expr("if(turn % 5 = 0, cast(array() as array<double>), transform(texts, (t, i) -> ((conv_id * 7 + turn * 3 + i * 11) % 100) / 128.0D))")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.split("text", "\n").alias("texts")).withColumn("scores", scores)
+    stats = M.ocr_page_stats(F.col("texts"), F.col("scores"))
+    return rows.select("conv_id", "turn", stats["lines"].cast("long").alias("lines"), stats["chars"].cast("long").alias("chars"), F.round(stats["mean"] * 10000).cast("long").alias("mean"))
+
+
+def q61_first_keys(spark, d):
+    words = F.split(F.lower("text"), "[^a-z]+")
+    keys = M.first_keys(F.filter(words, lambda w: w != ""))
+    return table(spark, d, "documents").select("doc_id", F.array_join(keys, " ").alias("keys"))
+
+
+def q62_docx_round_trip(spark, d):
+    rows = S.list_ids(_blocks(spark, d), ["doc_id"])
+    found = DX.metrics(DX.documents(rows, "doc_id", "block_id"), "doc_id")
+    return found.select("doc_id", "paragraphs", "headings", "bullets", "ordered", "text_chars", "media_count", "text_nodes", "complete", "zip_ok")
+
+
+def q63_text_lines(spark, d):
+    """Words of each line stand for characters, so bands, gaps and joins all happen."""
+    words = V.lines(spark, d).select("doc_id", "line_no", "top", F.posexplode(F.split("text", " ")).alias("j", "char"))
+    chars = words.selectExpr(
+        "doc_id", "line_no * 10000 + j as char_no", "char", "cast(36 + j * 40 + (j * j * doc_id) % 7 * 6 as double) as x0", "cast(36 + j * 40 + (j * j * doc_id) % 7 * 6 + 30 as double) as x1",
+        "cast(top + (j * line_no) % 3 as double) as top", "cast(top + (j * line_no) % 3 + 10 as double) as bottom")
+    out = TB.text_lines(chars, ["doc_id"])
+    return out.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"), F.sum("x0").alias("x0"), F.sum("bottom").alias("bottom"))
+
+
+def q64_whole_tables(spark, d):
+    """Rules and uprights of each order, with lines in them: cells with their spans and texts."""
+    rules = table(spark, d, "lineitem").selectExpr("l_orderkey as id", "cast(l_linenumber * (20 + l_orderkey % 30) as double) as top", "cast(36 + l_quantity as double) as x0", "cast(300 + l_quantity as double) as x1")
+    posts = table(spark, d, "orders").selectExpr("o_orderkey as id", "explode(array(80.0D, 200.0D, 290.0D)) as x", "o_orderkey").selectExpr("id", "x", "if(x = 200 and id % 3 = 0, 30.0D, 0.0D) as top", "cast(100 + id % 200 as double) as bottom")
+    lines = table(spark, d, "lineitem").selectExpr("l_orderkey as id", "l_linenumber as line_no", "l_returnflag as text", "cast(60 + l_linenumber * 30 as double) as x0", "cast(100 + l_linenumber * 30 as double) as x1", "cast(l_linenumber * 22 as double) as top", "cast(l_linenumber * 22 + 9 as double) as bottom")
+    out = TB.tables(lines.dropDuplicates(["id", "line_no"]), rules, posts, ["id"])
+    return out.select("id", "table_no", "row", "col", "row_span", "col_span", "text")
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}

@@ -189,7 +189,7 @@ SQL = {
     "q42_admission_queue": """WITH f AS (SELECT user_id, min(ts) AS created, arg_min(event_type, (ts, event_id)) AS queue FROM events GROUP BY 1), p AS (SELECT user_id, queue, row_number() OVER (PARTITION BY queue ORDER BY created, user_id) AS position FROM f)
       SELECT *, position <= 4 AS admitted FROM p""",
     "q43_upsert_delete": """WITH r AS (SELECT o_orderkey AS id, o_orderstatus AS state, o_custkey AS owner FROM orders),
-      u AS (SELECT id, CASE WHEN id % 7 = 0 THEN 'X' ELSE state END AS state FROM r UNION ALL SELECT -id, 'N' FROM r WHERE id % 11 = 0 AND id % 7 <> 0)
+      u AS (SELECT id, CASE WHEN id % 14 = 0 THEN 'Y' WHEN id % 7 = 0 THEN 'X' ELSE state END AS state FROM r UNION ALL SELECT -id, 'N' FROM r WHERE id % 11 = 0 AND id % 7 <> 0)
       SELECT state, count(*) AS n, sum(id)::BIGINT AS ids FROM u WHERE id NOT IN (SELECT id FROM r WHERE owner % 13 = 0) GROUP BY 1""",
     "q44_catalogue_default": "SELECT doc_id, coalesce(quality, -1)::BIGINT AS quality FROM documents LEFT JOIN labels USING (doc_id)",
     "q45_corpus_metrics": f"""WITH {BLOCKS} SELECT source, count(DISTINCT b.doc_id) AS docs, count(*) AS blocks, count(*) FILTER (role IN ('heading1', 'heading2', 'title')) AS headings, count(*) FILTER (role IN ('bullet', 'plugin')) AS bullets,
@@ -197,4 +197,47 @@ SQL = {
     "q46_page_size_scale": "SELECT p_partkey, least(1000000, 792000000 // greatest(p_size * 40 + 100, (p_partkey % 50) * 30 + 200))::BIGINT AS scale, trunc((p_size * 40 + 100) * 1000000 / 72)::BIGINT AS width_millionths FROM part",
     "q47_required_entries": f"""WITH {ROLES}, s AS (SELECT doc_id, 4 - count(DISTINCT role) FILTER (role IN ('body', 'bullet', 'heading1', 'ordered')) AS missing FROM roles GROUP BY 1) SELECT doc_id, missing, missing = 0 AS complete FROM s""",
     "q48_sanitize_names": r"""SELECT page_id, CASE WHEN n = '' THEN 'input.pdf' ELSE n END AS name FROM (SELECT page_id, regexp_replace(regexp_extract(regexp_replace(url, '/+$', ''), '[^/]*$'), '[^0-9A-Za-z_.\-一-龥]', '_', 'g') AS n FROM pages)""",
+    "q49_page_metrics": """WITH b AS (SELECT p_partkey, p_size::DOUBLE AS s, (p_partkey % 7) * 9 - 18.0 AS t, p_size * 40 + 100 AS w, (p_partkey % 50) * 30 + 200 AS h FROM part),
+      g AS (SELECT *, [greatest(s, 0), greatest(t, 0), greatest(900 - t, 0)] AS hs FROM b),
+      i AS (SELECT *, list_transform(hs, lambda x: greatest(x / 72, 0.2)) AS ws FROM g), k AS (SELECT *, least(1.0, 6.0 / greatest(list_sum(ws), 0.2)) AS sc FROM i)
+      SELECT p_partkey, round(list_sum(hs) * 10)::BIGINT AS height, round(list_min(hs) * 10)::BIGINT AS least, round(list_sum(ws) * sc * 1000)::BIGINT AS width,
+      round(list_sum(list_transform(hs, lambda x: greatest(x * sc, 6.0))) * 1000)::BIGINT AS rows, round(greatest(least(2.0, sqrt(1000000.0 / (w * h))), 0.1) * 100000)::BIGINT AS render,
+      least(greatest(w - 150, 1), 100)::BIGINT AS quality FROM k""",
+    "q50_stage_progress": """SELECT event_type, CASE event_type WHEN 'view' THEN 60 WHEN 'click' THEN 90 WHEN 'purchase' THEN 95
+      ELSE least(80, 20 + floor(60 * (event_id % 9) / greatest(user_id % 5, 1))) END::BIGINT AS progress, count(*) AS n FROM events GROUP BY ALL""",
+    "q51_job_lifecycle": """WITH j AS (SELECT o_orderkey AS id, ['queued', 'processing', 'succeeded', 'failed', 'timed_out', 'cancelled'][o_orderkey % 6 + 1] AS status, o_custkey % 4 AS attempt,
+  o_orderkey % 5 > 0 AS has_input, o_custkey % 3 > 0 AS has_output, o_custkey % 7 = 0 AS late, o_orderdate AS created FROM orders) SELECT id,
+      CASE WHEN status NOT IN ('queued', 'processing') THEN status WHEN NOT has_input OR attempt > 1 THEN 'failed' ELSE 'queued' END AS recovered,
+      CASE WHEN status = 'succeeded' AND has_output THEN 'succeeded' WHEN status = 'cancelled' THEN 'cancelled' WHEN attempt <= 1 THEN 'queued' WHEN late OR status = 'timed_out' THEN 'timed_out' ELSE 'failed' END AS exited,
+      CASE WHEN status IN ('queued', 'processing') THEN 'cancelled' ELSE status END AS cancelled, CASE WHEN status = 'processing' THEN 'queued' ELSE status END AS stopped,
+      CASE WHEN status = 'succeeded' AND has_output THEN 200 ELSE 409 END::BIGINT AS download, CASE WHEN status = 'succeeded' THEN '/jobs/' || id || '/result' END AS url,
+      CASE WHEN id % 10 = 0 OR attempt < 1 THEN 400 WHEN attempt > 2 THEN 413 ELSE 200 END::BIGINT AS pages FROM j""",
+    "q52_latest_state": """WITH e AS (SELECT user_id, event_id, event_id % 11 = 0 AS bad, event_id % 11 <> 0 AND event_id % 5 = 0 AS a, event_id % 11 <> 0 AND event_id % 5 <> 0 AND event_id % 7 = 0 AS b, event_type FROM events),
+      f AS (SELECT *, NOT bad AND NOT a AND NOT b AS c FROM e WHERE NOT bad)
+      SELECT user_id, arg_max(event_type, event_id) FILTER (c) AS status, arg_max(event_id % 100, event_id) FILTER (b)::BIGINT AS progress, max(CASE WHEN a THEN 'ocr' END) AS route,
+      max(CASE WHEN c THEN user_id % 4 END)::BIGINT AS table_count FROM f GROUP BY user_id""",
+    "q53_scheduler": """WITH j AS (SELECT o_orderkey AS id, ['queued', 'processing', 'succeeded', 'failed', 'timed_out', 'cancelled'][o_orderkey % 6 + 1] AS status, o_custkey % 4 AS attempt,
+  o_orderkey % 5 > 0 AS has_input, o_custkey % 3 > 0 AS has_output, o_custkey % 7 = 0 AS late, o_orderdate AS created FROM orders) SELECT id FROM j WHERE status = 'queued' ORDER BY created, id LIMIT 4""",
+    "q54_page_events": f"""WITH {LINES}, t AS (SELECT DISTINCT doc_id, 30 AS x0, 400 + doc_id % 300 AS x1, 110 AS top, 166 AS bottom, 0 AS no FROM documents UNION ALL SELECT DISTINCT doc_id, 30, 900, 250, 300, 1 FROM documents),
+      o AS (SELECT doc_id, 1 AS kind, top, line_no AS no FROM lines l WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = l.doc_id AND (l.x0 + l.x1) / 2 BETWEEN t.x0 - 1 AND t.x1 + 1 AND (l.top + l.bottom) / 2 BETWEEN t.top - 1 AND t.bottom + 1)),
+      u AS (SELECT * FROM o UNION ALL SELECT doc_id, 0, top, no FROM t)
+      SELECT doc_id, kind::BIGINT AS kind, no::BIGINT AS no, row_number() OVER w AS seq, count(*) FILTER (kind = 0) OVER (PARTITION BY doc_id ORDER BY top, kind, no ROWS UNBOUNDED PRECEDING) AS segment
+      FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY top, kind, no)""",
+    "q56_recognised_blocks": r"""WITH r AS (SELECT conv_id, turn, (conv_id + turn) % 6 AS m, text FROM conversations),
+      b AS (SELECT *, ['text', 'doc_title', 'abstract', 'abstract', 'table', 'text'][m + 1] AS label, CASE WHEN m = 3 THEN 'Summary' || chr(10) || text WHEN m = 5 AND turn % 4 = 0 THEN '<TABLE><tr><td>' || text || '</td></tr></TABLE>' ELSE text END AS content FROM r),
+      k AS (SELECT *, CASE WHEN label = 'table' OR contains(lower(content), '<table') THEN 'table' WHEN label = 'doc_title' THEN 'title' ELSE 'text' END AS kind FROM b WHERE trim(content, E' \t\n\r') <> ''),
+      l AS (SELECT conv_id, turn, kind, label, unnest(ls) AS x, unnest(range(len(ls))) AS i FROM (SELECT *, CASE WHEN kind = 'text' THEN list_filter(list_transform(string_split(content, chr(10)), lambda y: trim(y, E' \t\r')), lambda y: y <> '') ELSE [trim(content, E' \t\n\r')] END AS ls FROM k))
+      SELECT conv_id, turn, kind, count(*) AS lines, count(*) FILTER (kind = 'title' OR i = 0 AND label = 'abstract' AND kind = 'text' AND length(x) <= 24 AND NOT regexp_matches(x, '[：:。；;]')) AS heads,
+      sum(length(CASE WHEN kind = 'table' THEN x ELSE trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) END))::BIGINT AS chars FROM l GROUP BY ALL""",
+    "q57_page_sizes": """SELECT l_orderkey AS id, (l_linenumber - 1)::BIGINT AS page_no, max(round(greatest(((l_orderkey % 9) * 72.0 + least(l_linenumber - 1, l_orderkey % 3) * 36) / 72, 0.01) * 1000))::BIGINT AS milli_inches, count(*) AS n
+      FROM lineitem JOIN (SELECT DISTINCT o_orderkey FROM orders) ON o_orderkey = l_orderkey GROUP BY ALL""",
+    "q58_given_roles": f"WITH {ROLES} SELECT doc_id, line_no, CASE WHEN line_no = 1 THEN 'title' WHEN line_no = 2 AND doc_id % 2 = 0 THEN 'heading1' ELSE role END AS role FROM roles",
+    "q59_render_deltas": f"""WITH {LINES}, s AS (SELECT doc_id, count(*) AS pages FROM lines GROUP BY 1)
+      SELECT doc_id, pages, CASE WHEN doc_id % 3 = 0 THEN pages + doc_id % 4 - 1 END AS rendered, CASE WHEN doc_id % 3 = 0 THEN doc_id % 4 - 1 END AS delta FROM s""",
+    "q60_recognition_stats": """WITH r AS (SELECT conv_id, turn, string_split(text, chr(10)) AS t FROM conversations)
+      SELECT conv_id, turn, len(t)::BIGINT AS lines, list_sum(list_transform(t, lambda x: length(x)))::BIGINT AS chars,
+      CASE WHEN turn % 5 > 0 THEN round(round(list_sum(list_transform(range(len(t)), lambda i: ((conv_id * 7 + turn * 3 + i * 11) % 100) / 128.0::DOUBLE)) / len(t), 4) * 10000)::BIGINT END AS mean FROM r""",
+    "q61_first_keys": "SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: w <> '')))[1:20], ' ') AS keys FROM documents",
+    "q62_docx_round_trip": f"""WITH {BLOCKS} SELECT doc_id, count(*) AS paragraphs, count(*) FILTER (role IN ('title', 'heading1', 'heading2')) AS headings, count(*) FILTER (role IN ('bullet', 'plugin')) AS bullets,
+      count(*) FILTER (role = 'ordered') AS ordered, sum(length(regexp_replace(text, '\\s+', '', 'g')))::BIGINT AS text_chars, 0::BIGINT AS media_count, count(*) AS text_nodes, true AS complete, true AS zip_ok FROM blocks GROUP BY doc_id""",
 }

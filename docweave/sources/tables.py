@@ -11,11 +11,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def uploads(spark: SparkSession, folder: str, max_bytes: int = 50 << 20, pattern: str = "*.pdf") -> DataFrame:
-    """(path, length, content, status) of files: 200, 413 if too large, 415 without the magic in the first 16 bytes."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length", "content")
+    """(path, length, status) of files, by path: 200, 413 if too large, 415 without the magic in the first 16 bytes.
+
+    Files that are too large aren't read; of the others 16 bytes leave the scan, so contents are never shuffled.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    head = F.regexp_replace(F.decode(F.substring("content", 1, 16), "ISO-8859-1"), r"^\s+", "")
+    read = files.where(F.col("length") <= max_bytes).select("path", "length", F.when(head.startswith("%PDF-"), 200).otherwise(415).alias("status"))
+    large = files.where(F.col("length") > max_bytes).select("path", "length", F.lit(413).alias("status"))
+    return read.unionByName(large).orderBy("path")
+
+
+def accepted(spark: SparkSession, folder: str, max_bytes: int = 50 << 20, pattern: str = "*.pdf") -> DataFrame:
+    """(path, content) of the files that uploads() accepts, read where they are used."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).where(F.col("length") <= max_bytes)
     head = F.regexp_replace(F.decode(F.substring("content", 1, 16), "ISO-8859-1"), r"^\s+", "")
-    status = F.when(F.col("length") > max_bytes, 413).when(~head.startswith("%PDF-"), 415).otherwise(200)
-    return files.withColumn("status", status).orderBy("path")
+    return files.where(head.startswith("%PDF-")).select("path", "content")
 
 
 def stage_events(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,7 +14,7 @@ def test_same_as_sql(same_as_sql, name):
 def test_all_registered():
     entry = importlib.import_module("__spark_entry__")
     assert set(catalog.QUERIES) <= set(entry.queries())
-    assert len(catalog.QUERIES) == 48
+    assert len(catalog.QUERIES) == 64
 
 
 def test_entry(spark):
