@@ -53,7 +53,8 @@ roles AS (SELECT *, CASE WHEN {has("text", SECTION)} THEN 'heading1' WHEN {has("
   WHEN {formula("text")} THEN 'formula' WHEN line_no = 1 THEN 'title' ELSE 'body' END AS role FROM placed)"""
 
 BLOCKS = f"""{ROLES},
-ends AS (SELECT *, {has("text", TERMINAL)} AS fin, {has("text", COLON)} AS colon, role IN ('ordered', 'bullet', 'plugin') AS item FROM roles),
+stripped AS (SELECT * REPLACE (regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text) FROM roles),
+ends AS (SELECT *, {has("text", TERMINAL)} AS fin, {has("text", COLON)} AS colon, role IN ('ordered', 'bullet', 'plugin') AS item FROM stripped WHERE text <> ''),
 states AS (SELECT *, CASE WHEN item AND NOT (fin AND NOT colon) THEN 1 WHEN item OR role <> 'body' OR (fin AND NOT colon) THEN 0 END AS st FROM ends),
 starts AS (SELECT *, role <> 'body' OR (coalesce(last_value(st IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0
     AND NOT coalesce(lag(role = 'body' AND NOT fin) OVER (PARTITION BY doc_id ORDER BY line_no), false)) AS opens FROM states),
