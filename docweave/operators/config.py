@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -30,3 +33,8 @@ class EngineConfig:
         )
         if not ok:
             raise ValueError(f"out of range: {self}")
+
+    def as_rows(self, spark: SparkSession) -> DataFrame:
+        """A row a parameter: name, value as text (whole numbers without a fraction)."""
+        plain = {k: f"{v:g}" if isinstance(v, float) else str(v) for k, v in asdict(self).items()}
+        return spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for kv in plain.items() for x in kv])).alias("name", "value"))

@@ -71,6 +71,11 @@ def field(record: Column, name: str, alias: str) -> Column:
     return F.coalesce(record[name], record[alias])
 
 
+def record_summary(record: Column) -> dict[str, Column]:
+    """Of a map of texts: its keys in order, how long the markdown is (null without), and its page index as it stands."""
+    return {"keys": F.array_sort(F.map_keys(record)), "markdown_chars": F.length(record["markdown"]), "page_index": record["page_index"]}
+
+
 def ocr_page_stats(texts: Column, scores: Column) -> dict[str, Column]:
     """lines, raw characters (white space included) and the mean score to four places, null without scores."""
     total = F.aggregate(scores, F.lit(0.0), lambda a, s: a + s)

@@ -12,6 +12,8 @@ from . import structure as S
 
 #: Labels of recognised blocks that are headings, and the longest line that heads an abstract.
 TITLES, ABSTRACT_HEAD = ("doc_title", "paragraph_title", "title", "figure_title"), 24
+#: Fixed value: the heading of a recognised page.
+PAGE_HEADING = "第 %d 页"
 #: Kinds of events; a table comes before a line of the same height.
 TABLE, LINE = 0, 1
 
@@ -87,3 +89,24 @@ def recognised_lines(blocks: DataFrame, keys: list[str], order: str) -> DataFram
     rows = rows.select(*keys, order, "kind", "label", F.posexplode("_lines").alias("line_no", "text"))
     head = (F.col("kind") == "title") | ((F.col("line_no") == 0) & abstract_head(F.col("label"), F.col("text")))
     return rows.select(*keys, order, "kind", "line_no", F.when(F.col("kind") == "table", F.col("text")).otherwise(T.plain_text(F.col("text"))).alias("text"), F.when(head, "heading1").alias("role"))
+
+
+def recognition_export(pages: DataFrame, lines: DataFrame, keys: list[str], page: str, hybrid: Column) -> DataFrame:
+    """(keys, part, page, kind, line_no, text): what an export of recognised pages holds; in order by part, page and line_no.
+
+    Part 0 has a row of kind "image" for each page, for documents where hybrid holds; it comes before part 1, which has for each
+    page its heading (line_no -1) and then its lines, of kind "line", or "table". pages has a row for each page, from 0;
+    lines are those of recognised_lines(). Pages without lines keep their heading.
+    """
+    none = F.lit(None).cast("string")
+    images = pages.where(hybrid).select(*keys, F.lit(0).alias("part"), page, F.lit("image").alias("kind"), F.lit(0).alias("line_no"), none.alias("text"))
+    title = F.format_string(PAGE_HEADING, (F.col(page) + 1).cast("long"))
+    heads = pages.select(*keys, F.lit(1).alias("part"), page, F.lit("heading2").alias("kind"), F.lit(-1).alias("line_no"), title.alias("text"))
+    kind = F.when(F.col("kind") == "table", "table").otherwise("line")
+    return images.unionByName(heads).unionByName(lines.select(*keys, F.lit(1).alias("part"), page, kind.alias("kind"), "line_no", "text"))
+
+
+def table_counts(documents: DataFrame, tables: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, tables): how many tables each document has, 0 included."""
+    n = tables.groupBy(*keys).agg(F.count("*").alias("tables"))
+    return documents.join(n, keys, "left").select(*keys, F.coalesce("tables", F.lit(0)).alias("tables"))

@@ -1,4 +1,4 @@
-"""q01 to q62: each operator over the driver's tables."""
+"""q01 to q68: each operator over the driver's tables."""
 
 from __future__ import annotations
 
@@ -26,7 +26,8 @@ ROUTE_MIN_CHARS = (20, 200, 1000)
 
 
 def q01_normalize_lines(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.lines(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " \t\n  ").alias("text"))
+    each = F.transform(F.split("text", "\n"), lambda x, i: V.line_text(x, (i + 1).cast("long")))
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(each, " \t\n  ").alias("text"))
     clean = rows.select("doc_id", T.normalize(F.col("text")).alias("text"))
     return clean.select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
 
@@ -457,4 +458,26 @@ def q64_whole_tables(spark, d):
     return out.select("id", "table_no", "row", "col", "row_span", "col_span", "text")
 
 
+def q65_recognition_export(spark, d):
+    turns = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("page_no"), F.lit("text").alias("label"), F.col("text").alias("content"))
+    lines = PG.recognised_lines(turns, ["conv_id"], "page_no")
+    out = PG.recognition_export(turns.select("conv_id", "page_no").distinct(), lines, ["conv_id"], "page_no", F.col("conv_id") % 2 == 0)
+    return out.select("conv_id", F.col("part").cast("long"), "page_no", "kind", F.col("line_no").cast("long"), "text")
+
+
+def q66_table_counts(spark, d):
+    boxes = _tables_of_documents(spark, d).where("top < 200 or doc_id % 3 = 0").where("doc_id % 5 > 0")
+    return PG.table_counts(table(spark, d, "documents").select("doc_id").distinct(), boxes, ["doc_id"])
+
+
+def q67_settings(spark, d):
+    return CFG.as_rows(spark)
+
+
+def q68_record_summaries(spark, d):
+    record = F.expr("map('markdown', if(conv_id % 3 = 0, null, text), concat('k', turn % 4), text, 'page_index', cast(turn as string))")
+    s = M.record_summary(record)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(s["keys"], ",").alias("keys"), s["markdown_chars"].cast("long").alias("markdown_chars"), s["page_index"].alias("page_index"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,15 +11,21 @@ from ..sources.tables import table
 PREFIXES = ("1. ", "• ", "2.1 ", "一、", "plugin_x: ", "（3）", "max ")
 
 
+def line_text(line: Column, line_no: Column) -> Column:
+    """A physical line with a prefix and an end by rule; its document is the column doc_id."""
+    doc = F.col("doc_id")
+    m, k = (doc * 17 + line_no * line_no * 3 + line_no) % 5, (doc * 31 + line_no * line_no * 7 + line_no * 3) % 17
+    short = F.substring(line, F.lit(1), F.length(line) - 1)
+    base = F.when(m < 2, short).when(m == 2, F.concat(short, F.lit(":"))).otherwise(line)
+    return F.concat(F.coalesce(F.get(F.array(*map(F.lit, PREFIXES)), k.cast("int")), F.lit("")), base)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no, text, x0, x1, top, bottom) for each physical line of documents."""
     raw = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("p", "l")).where("l is not null")
     raw = raw.select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), "l")
-    kinds = raw.selectExpr("*", "(doc_id*17 + line_no*line_no*3 + line_no) % 5 as m", "(doc_id*31 + line_no*line_no*7 + line_no*3) % 17 as k")
-    base = F.expr("case when m < 2 then substring(l, 1, length(l) - 1) when m = 2 then concat(substring(l, 1, length(l) - 1), ':') else l end")
-    prefix = F.coalesce(F.get(F.array(*map(F.lit, PREFIXES)), F.col("k").cast("int")), F.lit(""))
     x0 = F.expr("36 + ((doc_id*13 + line_no*line_no*5 + line_no) % 7) * 6")
-    out = kinds.select("doc_id", "line_no", F.concat(prefix, base).alias("text"), x0.alias("x0"), (F.lit(40) + F.col("line_no") * 14).alias("top"))
+    out = raw.select("doc_id", "line_no", line_text(F.col("l"), F.col("line_no")).alias("text"), x0.alias("x0"), (F.lit(40) + F.col("line_no") * 14).alias("top"))
     return out.selectExpr("doc_id", "line_no", "text", "x0", "x0 + length(text) * 5 as x1", "top", "top + 10 as bottom")
 
 

@@ -322,3 +322,14 @@ def test_stream_folds_jobs(spark, tmp_path):
         query.stop()
     got = {r["job_id"]: (r["status"], r["attempts"]) for r in spark.sql("SELECT * FROM jobs").collect()}
     assert got == {"a": ("succeeded", 2), "b": ("failed", 2)}
+
+
+def test_recognition_export_keeps_empty_pages_and_counts_none(spark):
+    pages = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "id int, page int")
+    blocks = spark.createDataFrame([(1, 0, "text", "<table><tr><td>x</td></tr></table>"), (1, 0, "text", None), (1, 1, "text", "  \n ")], "id int, page int, label string, content string")
+    lines = PG.recognised_lines(blocks, ["id"], "page")
+    rows = PG.recognition_export(pages, lines, ["id"], "page", F.col("id") == 2).collect()
+    got = sorted((r["id"], r["part"], r["page"], r["line_no"], r["kind"]) for r in rows)
+    assert got == [(1, 1, 0, -1, "heading2"), (1, 1, 0, 0, "table"), (1, 1, 1, -1, "heading2"), (2, 0, 0, 0, "image"), (2, 1, 0, -1, "heading2")]
+    counts = PG.table_counts(pages.select("id").distinct(), lines.where("kind = 'table'"), ["id"]).collect()
+    assert sorted((r["id"], r["tables"]) for r in counts) == [(1, 1), (2, 0)]
