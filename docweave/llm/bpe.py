@@ -69,6 +69,9 @@ class Codec(Tokens):
 
     def __init__(self, tokenizer_json: str):
         super().__init__(tokenizer_json)
+        if hasattr(self.lib.model, "_resize_cache"):
+            # the library keeps a cache for each of its threads, which outlives the object, and a worker serves many tasks; the memo does its work here
+            self.lib.model._resize_cache(0)
         letters = byte_alphabet()
         vocab = self.spec["model"]["vocab"]
         self.pieces: list[bytes] = [b""] * (1 + max([*vocab.values(), *self.special_ids.values()]))

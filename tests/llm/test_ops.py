@@ -324,6 +324,25 @@ def test_bpe_round_trip(spark, odd, empty):
     assert report[1]["ids_sha256"] == hashlib.sha256(b"").hexdigest() and report[5]["decoded_sha256"] == hashlib.sha256(LONG.encode()).hexdigest()
 
 
+def test_codecs_of_many_tasks_leave_no_memory():
+    """A worker builds a codec for each of its tasks; what the library caches for one must not stay when it goes."""
+    spec = bpe.read_spec(queries.tokenizer_path())
+    random.seed(5)
+
+    def held():
+        for _ in range(6):
+            texts = [" ".join("".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(300)) for _ in range(128)]
+            codec = bpe.Codec(spec)
+            assert codec.decode(codec.encode_batch(texts)[0]) == texts[0]
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    held()
+    before = held()
+    after = held()
+    assert after - before < 25
+
+
 def test_forced_cuts_are_in_no_token():
     codec = bpe.Codec(bpe.read_spec(queries.tokenizer_path()))
     inside = {(a, b) for raw in codec.pieces[:-1] for a, b in zip(raw, raw[1:], strict=False)}
